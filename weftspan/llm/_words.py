@@ -77,3 +77,11 @@ class Rows(dict):
         if len(self) > self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def take(self, words: list, step: int = 50_000) -> np.ndarray:
+        """The words' rows."""
+        parts = []
+        for k in range(0, len(words), step):
+            at = self.of(words[k : k + step])  # may replace values_
+            parts.append(self.values_[at])
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, self.values_.shape[1]), np.float32), *parts])

@@ -106,8 +106,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = WORD.findall(text.lower()) if text and rows is not None else []
                 if words:
-                    at = rows.of(words)
-                    cost = rows.values_[at].mean(0, dtype=np.float64)
+                    cost = rows.take(words).mean(0, dtype=np.float64)
                     best = int(cost.argmin())
                     langs.append(m.langs[best])
                     scores.append(float(1 / (10 ** (cost[best] - cost)).sum()))

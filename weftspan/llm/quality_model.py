@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, nam
             for text in bytes_of(batch.column("text")):
                 vector = np.zeros(WIDTH, np.float32)
                 if words := text.split():
-                    x = rows.values_[rows.of(words)] if len(words) < 100_000 else np.concatenate([rows.values_[rows.of(words[k : k + 50_000])] for k in range(0, len(words), 50_000)])
+                    x = rows.take(words)
                     hashes = (x[:, WIDTH].astype(np.uint64) << np.uint64(16)) + x[:, WIDTH + 1].astype(np.uint64)
                     vector = (x[:, :WIDTH].sum(0, dtype=np.float64) + m.table[pair_rows(hashes)].sum(0, dtype=np.float64)) / (2 * len(words) - 1)
                 out.append(m.probability(vector))
