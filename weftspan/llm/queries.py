@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, line_rules, mixing, packing, pii, quality_model
+from . import grid_order, langid, licenses, line_rules, mixing, ngram_join, packing, pii, quality_model
 from ._shared import prepare, table
 
 
@@ -20,6 +20,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(prepare(spark), sf_dir, "documents"))
+
+
+def op4_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order.near_duplicates(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~langid.held_out(3, 1))
@@ -47,6 +55,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_quality_classifier, op6_source_mixing, op7_personal_data, op8_language_id, op9_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_ngram_jaccard, op4_grid_order, op5_quality_classifier, op6_source_mixing, op7_personal_data, op8_language_id, op9_quality_rules)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op3_ngram_jaccard": ngram_join.oracle(), "op4_grid_order": grid_order.oracle(), "op6_source_mixing": mixing.oracle()}
