@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grid_order, langid, licenses, line_rules, mixing, ngram_join, packing, pii, quality_model
+from . import grid_order, hmm_lm, langid, licenses, line_rules, mixing, ngram_join, packing, pii, quality_model
 from ._shared import prepare, table
 
 
@@ -54,7 +54,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(docs, line_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    model, counts = hmm_lm.fit(docs, ~langid.held_out(5, 1))
+    return hmm_lm.score(docs, model, counts).select("doc_id", langid.held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_ngram_jaccard, op4_grid_order, op5_quality_classifier, op6_source_mixing, op7_personal_data, op8_language_id, op9_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_ngram_jaccard, op4_grid_order, op5_quality_classifier, op6_source_mixing, op7_personal_data, op8_language_id, op9_quality_rules, op10_hidden_markov_lm)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op3_ngram_jaccard": ngram_join.oracle(), "op4_grid_order": grid_order.oracle(), "op6_source_mixing": mixing.oracle()}
