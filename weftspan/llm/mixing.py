@@ -37,12 +37,12 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     after = by_cap.rowsBetween(0, Window.unboundedFollowing)
     numbered = sums.withColumn("number", F.row_number().over(by_name) - 1)
     numbered = numbered.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int")))
-    # level: words for each unit of weight if all that fill up earlier are at their caps
+    # level: words for each unit of weight if all that fill up earlier are at their caps; it rises as long as they do
     filled = numbered.withColumn("full", cap * F.col("source_size") / F.col("weight")).withColumn("total", F.sum("source_size").over(Window.partitionBy()))
     filled = filled.withColumn("level", (F.col("total") - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(after))
-    filled = filled.withColumn("final", F.min(F.when(F.col("full") >= F.col("level"), F.col("level"))).over(Window.partitionBy()))
+    filled = filled.withColumn("final", F.max("level").over(Window.partitionBy()))
     target = F.least(F.col("final") * F.col("weight"), (cap * F.col("source_size")).cast("double"))
-    return filled.select("source", "number", "source_size", "weight", F.coalesce(target, (cap * F.col("source_size")).cast("double")).alias("target"))
+    return filled.select("source", "number", "source_size", "weight", target.alias("target"))
 
 
 def _cut(rows: DataFrame, quota: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def oracle(rounds: int = ROUNDS) -> str:
     f AS (SELECT *, 3 * source_size / weight AS brim FROM w),
     l AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY brim, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY brim, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM f),
-    t AS (SELECT source, source_no, source_size, coalesce(least((SELECT min(lev) FROM l WHERE brim >= lev) * weight, 3.0 * source_size), 3.0 * source_size)::DOUBLE AS target FROM l),
+    t AS (SELECT source, source_no, source_size, least((SELECT max(lev) FROM l) * weight, 3.0 * source_size)::DOUBLE AS target FROM l),
     e AS (SELECT d.i, d.doc_id, d.size, d.u, t.source_no, t.source_size, t.target, least(3.0, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END)::DOUBLE AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     p AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p FROM e),
     o AS (SELECT *, (u / (1 - u)) / CASE WHEN p > 0 THEN p / (1 - p) END AS odds FROM p),
