@@ -57,31 +57,38 @@ def crc_remainder(doc_id: int, k: int) -> int:
 
 
 class Rows(dict):
-    """word -> number of its row; compute(word) gives the row. Emptied when full, between texts."""
+    """word -> number of its row; compute(words) gives the rows of new words. Emptied when full."""
 
     def __init__(self, width: int, compute, most: int = 150_000):
         super().__init__()
         self.compute, self.most = compute, most
         self.values_ = np.zeros((1024, width), np.float32)
 
-    def __missing__(self, word) -> int:
-        at = len(self)
-        if at == len(self.values_):
-            self.values_ = np.concatenate([self.values_, np.zeros_like(self.values_)])
-        self.values_[at] = self.compute(word)
-        self[word] = at
-        return at
-
-    def of(self, words: list) -> np.ndarray:
-        """Numbers of rows of `values_`, valid until the next call."""
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
     def take(self, words: list, step: int = 50_000) -> np.ndarray:
         """The words' rows."""
-        parts = []
+        parts = [np.zeros((0, self.values_.shape[1]), np.float32)]
         for k in range(0, len(words), step):
-            at = self.of(words[k : k + step])  # may replace values_
-            parts.append(self.values_[at])
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, self.values_.shape[1]), np.float32), *parts])
+            part = words[k : k + step]
+            if len(self) > self.most:
+                self.clear()
+            if new := [w for w in dict.fromkeys(part) if w not in self]:
+                start, end = len(self), len(self) + len(new)
+                while end > len(self.values_):
+                    self.values_ = np.concatenate([self.values_, np.zeros_like(self.values_)])
+                self.values_[start:end] = self.compute(new)
+                self.update(zip(new, range(start, end), strict=True))
+            parts.append(self.values_[np.fromiter(map(self.__getitem__, part), np.int64, len(part))])
+        return parts[1] if len(parts) == 2 else np.concatenate(parts)
+
+
+def gathered(texts: list[list], most: int = 40_000):
+    """Neighbouring texts, as lists of words, in lists that hold so many words or a single text."""
+    held, size = [], 0
+    for words in texts:
+        held.append(words)
+        size += len(words)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import columns, map_batches
-from ._words import Rows
+from ._words import Rows, gathered
 
 #: Letters only; digits, marks of punctuation and underscores part words.
 WORD = re.compile(r"[^\W\d_]+")
@@ -99,20 +99,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         m = shared.value
-        rows = Rows(max(1, len(m.langs)), m.costs) if m.langs else None
+        rows = Rows(len(m.langs), lambda words: np.array([m.costs(w) for w in words])) if m.langs else None
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                words = WORD.findall(text.lower()) if text and rows is not None else []
-                if words:
-                    cost = rows.take(words).mean(0, dtype=np.float64)
-                    best = int(cost.argmin())
-                    langs.append(m.langs[best])
-                    scores.append(float(1 / (10 ** (cost[best] - cost)).sum()))
-                else:
-                    langs.append("und")
-                    scores.append(0.0)
+            found = [WORD.findall(t.lower()) if t and rows is not None else [] for t in batch.column("text").to_pylist()]
+            for texts in gathered(found):
+                sizes = np.array([len(w) for w in texts])
+                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+                sums = iter(np.add.reduceat(rows.take([w for words in texts for w in words]).astype(np.float64), starts, axis=0) if len(starts) else [])
+                for n in sizes.tolist():
+                    if n:
+                        cost = next(sums) / n
+                        best = int(cost.argmin())
+                        langs.append(m.langs[best])
+                        scores.append(float(1 / (10 ** (cost[best] - cost)).sum()))
+                    else:
+                        langs.append("und")
+                        scores.append(0.0)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
         return turn

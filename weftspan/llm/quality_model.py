@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import bytes_of, columns, map_batches
-from ._words import MIX, Rows
+from ._words import MIX, Rows, gathered
 
 BUCKETS, WIDTH = 1 << 16, 16
 GRAMS = (3, 4)
@@ -31,13 +31,34 @@ SAMPLE, SAMPLE_BYTES, ROUNDS, RATE = 2500, 24_000_000, 6, 0.5
 GRAM_BYTES = 64
 
 
-def word_rows(word: bytes) -> list[int]:
-    """The rows of a word: its own, and those of its character n-grams (of bytes, with ends marked)."""
-    shape = b"<" + (word if len(word) <= GRAM_BYTES else word[: GRAM_BYTES // 2] + word[-GRAM_BYTES // 2 :]) + b">"
-    out = [zlib.crc32(word) % BUCKETS]
-    for n in GRAMS:
-        out += [zlib.crc32(shape[i : i + n], n) % BUCKETS for i in range(len(shape) - n + 1)]
-    return out
+def word_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words and, for each row, the number of its word: a word's own row, and those of its character n-grams (of bytes, with ends marked)."""
+    shapes = [b"<" + (w if len(w) <= GRAM_BYTES else w[: GRAM_BYTES // 2] + w[-GRAM_BYTES // 2 :]) + b">" for w in words]
+    text = np.frombuffer(b"".join(shapes), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, shapes), np.int64, len(shapes))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    rows = [np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))]
+    owners = [np.arange(len(words))]
+    h = np.zeros(len(text), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, max(GRAMS) + 1):
+            h = h[: len(text) - n + 1] * np.uint64(1_000_003) + text[n - 1 :] + np.uint64(n)
+            if n in GRAMS:
+                whole = owner[: len(h)] == owner[n - 1 :]
+                rows.append(((h[whole] * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS)
+                owners.append(owner[: len(h)][whole])
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+def word_vectors(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """The mean of each word's rows and, as two exact halves, its hash."""
+    rows, owners = word_rows(words)
+    order = np.argsort(owners, kind="stable")
+    count = np.bincount(owners, minlength=len(words))
+    starts = np.concatenate([[0], np.cumsum(count)[:-1]])
+    sums = np.add.reduceat(table[rows[order]], starts, axis=0)
+    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return np.concatenate([sums / count[:, None], np.stack([h >> 16, h & 0xFFFF], 1)], 1)
 
 
 def pair_rows(hashes: np.ndarray) -> np.ndarray:
@@ -64,14 +85,12 @@ class Classifier:
         kinds: dict[bytes, int] = {}
         for w in words:
             kinds[w] = kinds.get(w, 0) + 1
-        rows, shares = [], []
-        for w, c in kinds.items():
-            own = word_rows(w)
-            rows += own
-            shares += [c / len(own)] * len(own)
+        rows, owners = word_rows(list(kinds))
+        count = np.fromiter(kinds.values(), np.float64, len(kinds))
+        shares = (count / np.bincount(owners))[owners]
         hashes = np.fromiter((zlib.crc32(w) for w in words), np.uint64, len(words))
         pairs = pair_rows(hashes)
-        rows, shares = np.concatenate([np.array(rows, np.int64), pairs]), np.concatenate([np.array(shares), np.ones(len(pairs))])
+        rows, shares = np.concatenate([rows, pairs]), np.concatenate([shares, np.ones(len(pairs))])
         kept, back = np.unique(rows, return_inverse=True)
         return kept, (np.bincount(back, shares) / (2 * len(words) - 1)).astype(np.float32)
 
@@ -125,22 +144,22 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, nam
 
     def make():
         m = shared.value
-        # a word's row: its vector and, as two exact halves, its hash
-        def row(word: bytes) -> np.ndarray:
-            h = zlib.crc32(word)
-            return np.concatenate([m.table[word_rows(word)].mean(0), [h >> 16, h & 0xFFFF]])
-
-        rows = Rows(WIDTH + 2, row, 100_000)
+        rows = Rows(WIDTH + 2, lambda words: word_vectors(words, m.table))
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text in bytes_of(batch.column("text")):
-                vector = np.zeros(WIDTH, np.float32)
-                if words := text.split():
-                    x = rows.take(words)
-                    hashes = (x[:, WIDTH].astype(np.uint64) << np.uint64(16)) + x[:, WIDTH + 1].astype(np.uint64)
-                    vector = (x[:, :WIDTH].sum(0, dtype=np.float64) + m.table[pair_rows(hashes)].sum(0, dtype=np.float64)) / (2 * len(words) - 1)
-                out.append(m.probability(vector))
+            for texts in gathered([t.split() for t in bytes_of(batch.column("text"))]):
+                sizes = np.array([len(w) for w in texts])
+                vectors = np.zeros((len(texts), WIDTH))
+                if some := int(sizes.sum()):
+                    x = rows.take([w for words in texts for w in words])
+                    pairs = np.zeros((some, WIDTH), np.float32)
+                    pairs[:-1] = m.table[pair_rows((x[:, WIDTH].astype(np.uint64) << np.uint64(16)) + x[:, WIDTH + 1].astype(np.uint64))]
+                    ends = np.cumsum(sizes)
+                    pairs[ends[sizes > 0] - 1] = 0  # no pair spans two texts
+                    starts = (ends - sizes)[sizes > 0]
+                    vectors[sizes > 0] = np.add.reduceat((x[:, :WIDTH] + pairs).astype(np.float64), starts, axis=0) / (2 * sizes[sizes > 0] - 1)[:, None]
+                out += [m.probability(v) for v in vectors]
             return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.float64())], names=[*names, name])
 
         return turn
