@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import find_package
+
 #: Rows in an Arrow batch: texts may be long, so a batch is far smaller than Spark's default.
 BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers find this package, and keeps their batches small."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
