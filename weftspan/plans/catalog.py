@@ -1,6 +1,387 @@
-"""Every query of the engine's own operators, with its SQL."""
+"""Every query of the engine's own operators, with DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import headers, html, robots, urls
+from ..operators import analytics, graph, lifecycle
+from ..sources import schemas
+
+from .tables import LIFE, errors, life, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: What the queries ask with.
+NOW, CUTOFF, TRIES, CLAIM = 5000, 50, 3, 7
+INCLUDE, EXCLUDE = [r"/en/", r"/de/\d"], [r"utm_", r"\.html$"]
+ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html\nAllow: /en/*5*.html\nDisallow: /es/$\nCrawl-delay: 1.5\n# end\nUser-agent: other\nDisallow: /\n"
+
+LIFE_SQL = "life AS (" + LIFE.replace("{src}", "pages") + ")"
+LINK_SQL = r"""a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+u AS (SELECT page_id, url, unnest(range(len(h))) AS pos, h, t FROM a),
+f AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, url AS source_url, h[pos + 1] AS href, trim(t[pos + 1]) AS anchor_text, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM u),
+link AS (SELECT page_id, pos, source_url, origin || CASE WHEN regexp_matches(href, '^/[A-Za-z0-9/,._~-]*$') THEN href ELSE replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') END AS target_url,
+  anchor_text, 'internal' AS link_type, '' AS rel_attribute FROM f WHERE href <> '' AND href[1] = '/' AND NOT contains(href, '://'))"""
+EDGE_SQL = LINK_SQL + ", edge AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY source_url, target_url ORDER BY page_id, pos) AS r FROM link) WHERE r = 1)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.links_of_pages(table(spark, sf_dir, "pages"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.first_edges(links(spark, sf_dir), ["page_id", "pos"])
+
+
+@query(f"WITH {LINK_SQL} SELECT target_url, count(DISTINCT source_url) AS linking_pages, count(*) AS links FROM link GROUP BY target_url")
+def inbound_links(spark, sf_dir):
+    return graph.inbound(links(spark, sf_dir))
+
+
+@query(f"WITH {LINK_SQL} SELECT source_url, count(*) AS links, count(DISTINCT target_url) AS targets, CAST(0 AS BIGINT) AS external_links FROM link GROUP BY source_url")
+def outbound_links(spark, sf_dir):
+    return graph.outbound(links(spark, sf_dir))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(coalesce(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[-1], ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g')) AS title FROM pages""")
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, sha256(html) AS content_hash FROM pages")
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.content_hash(F.col("html")).alias("content_hash"))
+
+
+@query(f"WITH {LINK_SQL} SELECT * FROM link")
+def extract_links(spark, sf_dir):
+    return links(spark, sf_dir)
+
+
+@query(f"""WITH {LINK_SQL}, t AS (SELECT page_id, trim(regexp_replace(replace(replace(coalesce(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[-1], ''), '&quot;', '"'), '&lt;', '<'), '&amp;?', '&', 'g')) AS title, sha256(html) AS content_hash FROM pages)
+SELECT t.page_id, title, '' AS meta_description, '' AS meta_robots, '' AS canonical_url, content_hash, count(link.pos) AS links, min(link.target_url) AS least_target FROM t LEFT JOIN link ON link.page_id = t.page_id GROUP BY t.page_id, title, content_hash""")
+def parsed_pages(spark, sf_dir):
+    """The general parser over whole pages, held against flat markup."""
+    read = html.parse_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "title", "meta_description", "meta_robots", "canonical_url", "content_hash", F.size("links").cast("bigint").alias("links"), F.array_min(F.col("links.url")).alias("least_target"))
+
+
+@query(r"""SELECT url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages""")
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("url", urls.scheme(url).alias("scheme"), urls.authority(url).alias("authority"), urls.path(url).alias("path"), urls.origin(url).alias("origin"))
+
+
+@query(f"WITH {LINK_SQL} SELECT link_type, count(*) AS n FROM link GROUP BY link_type")
+def link_types(spark, sf_dir):
+    return analytics.links_per_type(links(spark, sf_dir))
+
+
+HREFS = ("url", "path", "concat('mailto:', path)", "concat('/go?u=', url)", "concat('page:', path)", "concat('//', authority, path)", "concat('ftp://', authority)", "concat('http:', path)")
+
+
+def _hrefs() -> str:
+    parts = " UNION ALL ".join(f"SELECT page_id, {k} AS k, {h} AS href FROM p" for k, h in enumerate(HREFS))
+    return parts
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages), h AS ({_hrefs()})
+SELECT page_id, k, href, CASE WHEN contains(href, '://') THEN starts_with(href, 'https://') OR starts_with(href, 'http://') WHEN contains(href, ':') AND href[1] NOT IN ('/', '?', '#') THEN starts_with(href, 'http') ELSE true END AS passes,
+  starts_with(href, 'https://') OR starts_with(href, 'http://') AS crawlable FROM h""")
+def scheme_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.authority(F.col("url")).alias("authority"), urls.path(F.col("url")).alias("path"))
+    rows = p.select("page_id", F.posexplode(F.array(*[F.expr(h) for h in HREFS])).alias("k", "href"))
+    return rows.withColumns({"passes": urls.href_gate(F.col("href")), "crawlable": urls.scheme_gate(F.col("href"))})
+
+
+SEEDS = ["https://www.cheap-pills.example.com/x", "http://m.casino-win.example.com", "https://www.cheap-pills.example.com/y?z"]
+
+
+@query("SELECT url, starts_with(url, 'https://www.cheap-pills.example.com/') OR url = 'https://www.cheap-pills.example.com' OR starts_with(url, 'http://m.casino-win.example.com/') OR url = 'http://m.casino-win.example.com' AS in_scope, starts_with(url, 'http://') OR starts_with(url, 'https://') AS in_scope_external FROM pages")
+def host_scope(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("url", urls.host_scope(url, SEEDS).alias("in_scope"), urls.host_scope(url, SEEDS, follow_external=True).alias("in_scope_external"))
+
+
+@query(r"SELECT url, (regexp_matches(url, '/en/') OR regexp_matches(url, '/de/\d')) AND NOT (regexp_matches(url, 'utm_') OR regexp_matches(url, '\.html$')) AS wanted FROM pages")
+def include_exclude(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("url", urls.crawl_scope(F.col("url"), [], INCLUDE, EXCLUDE, follow_external=True).alias("wanted"))
+
+
+@query(r"""WITH p AS (SELECT url, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
+SELECT url, CASE WHEN starts_with(path, '/fr/') THEN starts_with(path, '/fr/1') OR regexp_matches(path, '^/en/.*5.*\.html') WHEN regexp_matches(path, '^/.*\.html') THEN regexp_matches(path, '^/en/.*5.*\.html') WHEN path = '/es/' THEN regexp_matches(path, '^/en/.*5.*\.html') ELSE true END AS allowed FROM p""")
+def robots_allowed(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("url")
+    hosts = [r["h"] for r in pages.select(urls.authority(F.col("url")).alias("h")).distinct().limit(10_000).collect()]
+    return robots.allowed_urls(pages, robots.rules_frame(spark, dict.fromkeys(hosts, ROBOTS)))
+
+
+@query(f"""WITH {LIFE_SQL} SELECT id, json_extract_string(response_http_headers, '$."content-type"') AS content_type, CAST(coalesce(try_cast(nullif(regexp_extract(json_extract_string(response_http_headers, '$."content-length"'), '^([0-9]+)', 1), '') AS BIGINT), CASE WHEN json_extract_string(response_http_headers, '$."content-length"') IS NOT NULL THEN 0 END) AS BIGINT) AS content_length,
+  CAST(NULL AS TIMESTAMP) AS last_modified, json_extract_string(response_http_headers, '$.server') AS server, CAST(NULL AS VARCHAR) AS content_encoding, json_extract_string(response_http_headers, '$."x-cache"') AS x_cache, coalesce(starts_with(json_extract_string(response_http_headers, '$."content-type"'), 'text/html'), false) AS is_html FROM life""")
+def header_columns(spark, sf_dir):
+    out = headers.with_header_columns(life(spark, sf_dir)).withColumn("is_html", F.coalesce(headers.is_html(F.col("content_type")), F.lit(False)))
+    return out.select("id", "content_type", "content_length", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), "server", "content_encoding", "x_cache", "is_html")
+
+
+@query(f"WITH {EDGE_SQL} SELECT * FROM edge")
+def dedup_edges(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query("SELECT source, target, l_orderkey AS first_order, l_linenumber AS first_line, l_returnflag AS anchor_text FROM (SELECT l_partkey AS source, l_suppkey AS target, *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def dedup_edges_at_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_orderkey").alias("first_order"), F.col("l_linenumber").alias("first_line"), F.col("l_returnflag").alias("anchor_text"))
+    return graph.first_edges(rows, ["first_order", "first_line"], "source", "target")
+
+
+@query(f"WITH {LINK_SQL}, e AS (SELECT source_url AS url FROM link UNION SELECT target_url FROM link) SELECT url, 'discovered' AS status FROM e WHERE url NOT IN (SELECT url FROM pages)")
+def nodes_from_links(spark, sf_dir):
+    return graph.unseen(graph.endpoints(links(spark, sf_dir)), table(spark, sf_dir, "pages")).select("url", F.lit("discovered").alias("status"))
+
+
+@query(f"WITH {EDGE_SQL} SELECT source_url, target_url, anchor_text, link_type, rel_attribute FROM edge")
+def links_view(spark, sf_dir):
+    found = edges(spark, sf_dir)
+    nodes = graph.with_nodes(table(spark, sf_dir, "pages").select("url", F.lit("completed").alias("status"), F.lit(0).alias("added_at"), graph.node_id(F.col("url")).alias("id")), found, F.lit(NOW))
+    return graph.links_view(graph.relations(found, nodes).drop("page_id", "pos"), nodes).select("source_url", "target_url", "anchor_text", "link_type", "rel_attribute")
+
+
+@query("SELECT o_orderkey AS edge_id, 'source_page_id' AS missing FROM orders WHERE o_custkey % 7 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT o_orderkey, 'target_page_id' FROM orders WHERE o_custkey + 1 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def fk_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("source_page_id"), (F.col("o_custkey") + 1).alias("target_page_id"))
+    nodes = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"))
+    return graph.foreign_key_violations(rows, nodes).select("edge_id", "missing")
+
+
+STATE = "id, url, status, added_at, processing_started_at, retry_count, last_error_type"
+
+
+def _state(pages: DataFrame) -> DataFrame:
+    return pages.select(*STATE.split(", "))
+
+
+@query(f"""WITH {LIFE_SQL}, ask AS (SELECT url FROM life WHERE id % 3 = 0 UNION SELECT 'https://new.example/' || id FROM life WHERE id % 25 = 0)
+SELECT life.url, CASE WHEN status = 'discovered' AND life.url IN (SELECT url FROM ask) THEN 'pending' ELSE status END AS status, CASE WHEN status = 'discovered' AND life.url IN (SELECT url FROM ask) THEN {NOW} ELSE added_at END AS added_at, retry_count FROM life
+UNION ALL SELECT url, 'pending', {NOW}, 0 FROM ask WHERE url NOT IN (SELECT url FROM life)""")
+def enqueue_promote(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    asked = pages.where("id % 3 = 0").select("url").unionAll(pages.where("id % 25 = 0").selectExpr("concat('https://new.example/', id) AS url"))
+    return lifecycle.add_to_queue(pages, asked.unionAll(asked), F.lit(NOW)).select("url", "status", "added_at", "retry_count")
+
+
+@query(f"""WITH {LIFE_SQL}, c AS (SELECT url FROM life WHERE status = 'pending' ORDER BY added_at, url LIMIT {CLAIM})
+SELECT id, url, CASE WHEN url IN (SELECT url FROM c) THEN 'processing' ELSE status END AS status, added_at, CASE WHEN url IN (SELECT url FROM c) THEN {NOW} ELSE processing_started_at END AS processing_started_at, retry_count, last_error_type FROM life""")
+def claim_next(spark, sf_dir):
+    return _state(lifecycle.claim_next(life(spark, sf_dir), CLAIM, F.lit(NOW))[0])
+
+
+@query(f"WITH {LIFE_SQL} SELECT url, added_at, row_number() OVER (ORDER BY added_at, url) AS place FROM life WHERE status = 'pending' ORDER BY added_at, url LIMIT 20")
+def queue_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    # at most 20 rows are numbered
+    return lifecycle.queue(life(spark, sf_dir), 20).select("url", "added_at", F.row_number().over(Window.orderBy("added_at", "url")).cast("bigint").alias("place"))
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, CASE WHEN status = 'processing' THEN 'completed' ELSE status END AS status, CASE WHEN status = 'processing' THEN 200 ELSE status_code END AS status_code, CASE WHEN status = 'processing' THEN id % 50 ELSE ttfb_ms END AS ttfb_ms, retry_count, last_error_type FROM life")
+def save_result(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    results = pages.where("status = 'processing'").selectExpr("url", "200 AS status_code", "id % 50 AS ttfb_ms")
+    return lifecycle.save_results(pages, results).select("id", "url", "status", "status_code", "ttfb_ms", "retry_count", "last_error_type")
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, CASE WHEN id % 5 = 2 THEN 'error' ELSE status END AS status, CAST(CASE WHEN id % 5 = 2 THEN retry_count + 1 ELSE retry_count END AS INTEGER) AS retry_count, CASE WHEN id % 5 = 2 THEN 'network_error' ELSE last_error_type END AS last_error_type, CASE WHEN id % 5 = 2 THEN 'refused' END AS last_error_message FROM life")
+def save_error(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    failed = pages.where("id % 5 = 2").selectExpr("url", "'network_error' AS error_type", "'refused' AS error_message")
+    return lifecycle.save_errors(pages, failed).select("id", "url", "status", "retry_count", "last_error_type", "last_error_message")
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, CASE WHEN id % 5 = 1 THEN 'skipped' ELSE status END AS status, retry_count, CASE WHEN id % 5 = 1 THEN 'robots_txt_disallow' ELSE last_error_type END AS last_error_type FROM life")
+def save_skipped(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    skipped = pages.where("id % 5 = 1").selectExpr("url", "'robots_txt_disallow' AS reason", "'' AS message")
+    return lifecycle.save_skipped(pages, skipped).select("id", "url", "status", "retry_count", "last_error_type")
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'skipped' ELSE status END AS status FROM life")
+def update_status(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    return lifecycle.update_status(pages, pages.where("id % 4 = 0"), "skipped").select("id", "status")
+
+
+CAN_RETRY = f"status = 'error' AND retry_count < {TRIES} AND last_error_type IN ({', '.join(repr(x) for x in schemas.RETRYABLE)})"
+
+
+@query(f"WITH {LIFE_SQL} SELECT {STATE.replace('status', f'CASE WHEN {CAN_RETRY} THEN {chr(39)}pending{chr(39)} ELSE status END AS status', 1)} FROM life")
+def requeue_errors(spark, sf_dir):
+    return _state(lifecycle.requeue_errors(life(spark, sf_dir), TRIES))
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, retry_count, added_at FROM life WHERE {CAN_RETRY}")
+def retryable(spark, sf_dir):
+    return lifecycle.retryable(life(spark, sf_dir), TRIES).select("id", "url", "retry_count", "added_at")
+
+
+IS_STALE = f"status = 'processing' AND (processing_started_at IS NULL OR processing_started_at < {CUTOFF})"
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, CASE WHEN {IS_STALE} THEN 'pending' ELSE status END AS status, added_at, CASE WHEN {IS_STALE} THEN NULL ELSE processing_started_at END AS processing_started_at, retry_count, last_error_type FROM life")
+def stale_reset(spark, sf_dir):
+    return _state(lifecycle.reset_stale(life(spark, sf_dir), F.lit(CUTOFF)))
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, url, processing_started_at FROM life WHERE status = 'processing'")
+def processing_items(spark, sf_dir):
+    return lifecycle.processing(life(spark, sf_dir)).select("id", "url", "processing_started_at")
+
+
+@query(f"WITH {LIFE_SQL} SELECT count(*) FILTER ({CAN_RETRY}) AS requeued, count(*) FILTER ({IS_STALE}) AS reset FROM life")
+def affected_rows(spark, sf_dir):
+    """How many rows a requeue and a reset would change."""
+    return life(spark, sf_dir).agg(F.count_if(lifecycle.is_retryable(TRIES)).alias("requeued"), F.count_if(lifecycle.is_stale(F.lit(CUTOFF))).alias("reset"))
+
+
+@query(f"WITH {LIFE_SQL} SELECT status, count(*) AS count, min(added_at) AS oldest_item, max(added_at) AS newest_item FROM life GROUP BY status")
+def queue_status(spark, sf_dir):
+    return analytics.queue_status(life(spark, sf_dir))
+
+
+@query(f"WITH {LIFE_SQL} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'error') AS error FROM life")
+def status_counts(spark, sf_dir):
+    return analytics.status_counts(life(spark, sf_dir))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS processing, CAST(0 AS BIGINT) AS completed, CAST(0 AS BIGINT) AS error")
+def status_counts_empty(spark, sf_dir):
+    return analytics.status_counts(life(spark, sf_dir).where("id < 0"))
+
+
+@query(f"WITH {LIFE_SQL} SELECT status, count(*) AS n FROM life GROUP BY status")
+def pages_per_status(spark, sf_dir):
+    return analytics.pages_per_status(life(spark, sf_dir))
+
+
+@query(f"WITH {LIFE_SQL} SELECT count(*) > 0 AS has_queued FROM life WHERE status = 'pending'")
+def has_queued(spark, sf_dir):
+    return analytics.has_queued(life(spark, sf_dir))
+
+
+@query(f"WITH {LIFE_SQL} SELECT count(*) AS pages, count(*) FILTER (status = 'completed') AS crawled, count(*) FILTER (status = 'error') AS errors FROM life")
+def crawl_totals(spark, sf_dir):
+    return analytics.totals(life(spark, sf_dir))
+
+
+@query(f"""WITH {LIFE_SQL} SELECT id, url, status_code, ttfb_ms, json_extract_string(response_http_headers, '$."content-type"') AS content_type, json_extract_string(response_http_headers, '$.server') AS server FROM life WHERE status = 'completed'""")
+def completed_pages(spark, sf_dir):
+    return analytics.completed_pages(life(spark, sf_dir)).select("id", "url", "status_code", "ttfb_ms", "content_type", "server")
+
+
+@query(f"WITH {LIFE_SQL} SELECT url, status_code, ttfb_ms FROM life WHERE status = 'completed' ORDER BY ttfb_ms DESC, url LIMIT 10")
+def top_slow_pages(spark, sf_dir):
+    return analytics.slowest(life(spark, sf_dir))
+
+
+@query("SELECT 'https://user' || user_id || '.example/' AS url, event_type AS error_type, props AS error_message, ts AS occurred_at FROM events WHERE event_type = 'error' ORDER BY ts DESC, url LIMIT 5")
+def recent_errors(spark, sf_dir):
+    return analytics.latest_errors(errors(spark, sf_dir))
+
+
+@query(f"WITH {LIFE_SQL} SELECT url, retry_count, last_error_type FROM life WHERE status = 'error'")
+def error_pages(spark, sf_dir):
+    return analytics.error_pages(life(spark, sf_dir))
+
+
+@query("SELECT 'https://user' || user_id || '.example/' AS url, event_type AS error_type, props AS error_message, ts AS occurred_at FROM events WHERE event_type = 'error' UNION ALL SELECT url, 'processing_error', 'new', TIMESTAMP '2024-01-01 00:00:00' FROM pages WHERE page_id % 50 = 0")
+def append_errors(spark, sf_dir):
+    new = table(spark, sf_dir, "pages").where("page_id % 50 = 0").selectExpr("url", "'processing_error' AS error_type", "'new' AS error_message", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS occurred_at")
+    return errors(spark, sf_dir).drop("event_id").unionByName(new)
+
+
+@query("SELECT 'k' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id")
+def meta_kv(spark, sf_dir):
+    return lifecycle.current_meta(table(spark, sf_dir, "events").selectExpr("concat('k', user_id) AS key", "props AS value", "event_id AS seq"))
+
+
+@query(f"WITH {LIFE_SQL}, ask AS (SELECT url FROM life WHERE id % 20 = 0 UNION ALL SELECT url || '#x' FROM life WHERE id % 20 = 1) SELECT ask.url, coalesce(status, '') AS status, status IS NOT NULL AS known FROM ask LEFT JOIN life ON life.url = ask.url")
+def url_status(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    asked = pages.where("id % 20 = 0").select("url").unionAll(pages.where("id % 20 = 1").select(F.concat("url", F.lit("#x")).alias("url")))
+    return lifecycle.url_status(pages, asked)
+
+
+@query(f"WITH {LINK_SQL}, t AS (SELECT DISTINCT target_url AS url FROM link) SELECT url FROM t WHERE NOT regexp_matches(url, '%') AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 <> 5)")
+def frontier_next(spark, sf_dir):
+    return lifecycle.frontier(links(spark, sf_dir), life(spark, sf_dir), urls.crawl_scope(F.col("url"), [], exclude=["%"], follow_external=True))
+
+
+@query(f"WITH {LIFE_SQL} SELECT count(*) AS bad FROM life WHERE status NOT IN ({', '.join(repr(x) for x in schemas.STATUSES)})")
+def bad_statuses(spark, sf_dir):
+    return schemas.bad_statuses(life(spark, sf_dir)).agg(F.count("*").alias("bad"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS pages, min('doc:' || doc_id) AS first_url FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("url"), F.when(F.col("text") == "", "").otherwise(html.content_hash(F.col("text"))).alias("content_hash"))
+    return analytics.duplicate_content(docs)
+
+
+@query(f"WITH {LIFE_SQL}, l AS (SELECT p.url AS source_url, q.url AS target_url FROM life p JOIN life q ON q.id = p.id + 3) SELECT source_url, target_url, status, status_code FROM l JOIN life ON life.url = target_url WHERE status_code >= 400 OR status = 'error'")
+def broken_links(spark, sf_dir):
+    pages = life(spark, sf_dir)
+    near = pages.select(F.col("url").alias("source_url"), (F.col("id") + 3).alias("id")).join(pages.select("id", F.col("url").alias("target_url")), "id").drop("id")
+    return analytics.broken_links(near, pages)
+
+
+@query(f"WITH {LINK_SQL} SELECT source_url, count(*) AS links, CAST(0 AS DOUBLE) AS external_share, CAST(0 AS DOUBLE) AS nofollow_share FROM link GROUP BY source_url")
+def external_share(spark, sf_dir):
+    return analytics.external_share(links(spark, sf_dir))
+
+
+@query(f"WITH {LINK_SQL}, e AS (SELECT DISTINCT source_url, target_url FROM link), d AS (SELECT source_url AS url, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_url, 0, 1 FROM e) SELECT url, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM d GROUP BY url")
+def link_degrees(spark, sf_dir):
+    return analytics.degrees(links(spark, sf_dir))
+
+
+@query(f"""WITH {LIFE_SQL}, d AS (SELECT json_extract_string(response_http_headers, '$."content-type"') AS content_type, json_extract_string(response_http_headers, '$.server') AS server, json_extract_string(response_http_headers, '$."x-cache"') AS x FROM life WHERE status = 'completed')
+SELECT content_type, server, count(*) AS pages, count(*) FILTER (x = 'HIT') AS cache_hits FROM d GROUP BY content_type, server""")
+def header_distribution(spark, sf_dir):
+    return analytics.header_distribution(life(spark, sf_dir))
+
+
+@query("SELECT event_type AS error_type, count(*) AS n, count(DISTINCT user_id) AS urls FROM events WHERE event_type = 'error' GROUP BY event_type")
+def error_histogram(spark, sf_dir):
+    return analytics.error_histogram(errors(spark, sf_dir))
+
+
+@query()
+def csv_export(spark, sf_dir):
+    """Completed pages written as CSV and read back."""
+    import tempfile
+
+    from ..sources.store import export_csv
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftspan-")).rstrip("/")
+    out = f"{folder}/csv-{abs(hash(sf_dir)) % 10**8}"
+    export_csv(analytics.completed_pages(life(spark, sf_dir)).drop("response_http_headers"), out)
+    return spark.read.option("header", True).csv(out)
+
+

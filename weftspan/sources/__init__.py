@@ -1,0 +1 @@
+"""Tables, snapshots, and pages from the network."""
