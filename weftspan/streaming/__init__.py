@@ -1,0 +1 @@
+"""The crawl as micro-batches."""
