@@ -1,9 +1,11 @@
 """Near-duplicate classes by the exact Jaccard similarity of word shingles.
 
-Equal sets become one class by a digest. Each class's set is indexed by the first words of its
-prefix in one global order of shingles (common ones last, else by hash): sets that link share
-a shingle there. Sets that share one are gathered into blocks, by linear stars instead of
-pairs, and each block is joined in one task:
+Equal sets become one class by a digest. How many texts have a shingle is counted exactly, by a
+shuffle of sorted, packed shingles of whole chunks of texts; each chunk gets back only those of
+its shingles that several texts have. A set with too few of them links with nothing. The others
+are indexed by their prefix in order of rarity: sets that link share a shingle there. Sets that
+share one are gathered into blocks, by linear stars instead of pairs, and each block is joined
+in one task:
 
 - the index list of a shingle holds its sets by size, in runs with their largest size and
   least position; a probe skips the runs whose sizes or positions can't reach the threshold;
@@ -27,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, groups, map_batches, written
+from ._shared import bytes_of, columns, groups, written
 from ._words import Numbers, windows
 from .graph import components
 
 WIDTH, PERCENT = 4, 85
-#: Shingles that are ordered last by their counts; a shingle counts as common in a chunk of so many shingles at this share of its texts.
-HEAVY, CHUNK, SHARE = 65_536, 1_000_000, 0.002
-#: Parts that an index list of a common shingle is dealt into.
-SALTS = 64
+#: Bits of a shingle's hash, and shingles of a chunk.
+BITS, CHUNK = 48, 3_000_000
 #: Sets and shingles of one part of a block.
 PART_SETS, PART_SHINGLES = 2000, 2_000_000
 #: Entries of a run of an index list.
@@ -47,7 +49,7 @@ RUN = 32
 
 def shingles(text: bytes, numbers: Numbers, width: int = WIDTH) -> np.ndarray:
     """The set of a text, sorted. bytes.lower() lowers A-Z alone."""
-    return np.unique(windows(numbers.of(text.lower().split()), width))
+    return np.unique(windows(numbers.of(text.lower().split()), width) >> np.uint64(64 - BITS))
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -55,83 +57,143 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _digests(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n and digest (a, b) of a text. kind 1: a shingle (a) and its count (n) where it is common in a chunk."""
+def packed(x: np.ndarray, delta: bool = True) -> bytes:
+    """Numbers by planes of bytes, as differences if asked for: small where they rise slowly."""
+    d = np.diff(x, prepend=x.dtype.type(0)) if delta else x
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
+
+
+def unpacked(b: bytes, kind: type, delta: bool = True) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    d = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(d, dtype=kind) if delta else d
+
+
+CHUNKS = "key long, chunk long, r int, start long, ids array<long>, n array<long>, a array<long>, b array<long>, first binary, second binary, third binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, texts = Numbers(), [], 0
-        names = ["kind", "doc_id", "n", "a", "b"]
 
-        def common() -> pa.RecordBatch:
-            kinds, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= max(4, SHARE * texts)
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(kinds[often].view(np.int64)), pa.nulls(k, pa.int64())], names=names)
+def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Chunks of texts, each as 1 + `ranges` rows.
+
+    r = -1: ids, sizes and digests of the texts, and their sets as places (first) among the chunk's
+    sorted shingles. Else: those shingles that fall in range r (first), how many texts of the chunk
+    have each (second), and the place of the first of them (start).
+    """
+    schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("r", pa.int32()), ("start", pa.int64()), *[(k, pa.list_(pa.int64())) for k in ("ids", "n", "a", "b")], *[(k, pa.binary()) for k in ("first", "second", "third")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, number = Numbers(), 0
+        ids, sets, size = [], [], 0
+        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**BITS / ranges)).astype(np.uint64)
+
+        def chunk() -> pa.RecordBatch:
+            name = (TaskContext.get().partitionId() << 32) + number
+            kinds, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            cuts = np.concatenate([[0], np.searchsorted(kinds, edges), [len(kinds)]])
+            half = lambda k: [int.from_bytes(d[k : k + 8], "big", signed=True) for d in digests]
+            rows = [{"key": -1 - name, "chunk": name, "r": -1, "start": 0, "ids": ids, "n": [len(s) for s in sets], "a": half(0), "b": half(8), "first": packed(place.astype(np.uint32))}]
+            for r, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if hi > lo:
+                    rows.append({"key": r, "chunk": name, "r": r, "start": lo, "first": packed(kinds[lo:hi]), "second": packed(count[lo:hi].astype(np.uint32), False)})
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            rows = []
-            for text in bytes_of(batch.column("text")):
-                s = shingles(text, numbers, width)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-                held.append(s)
-                texts += 1
-                if texts % 64 == 0 and sum(map(len, held)) > CHUNK:
-                    yield common()
-                    held, texts = [], 0
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
-        if held:
-            yield common()
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
-
-
-def _postings(docs: DataFrame, heavy: np.ndarray, count: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, salt (-1: not a common shingle) and id of the prefix of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, count))  # HEAVY entries at most
-
-    def make():
-        known, often = shared.value
-        numbers = Numbers()
-
-        def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, salts, ids = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")), strict=True):
                 s = shingles(text, numbers, width)
-                if not len(s):
+                ids.append(doc_id)
+                sets.append(s)
+                size += len(s) + 16
+                if size > CHUNK:
+                    yield chunk()
+                    number, size = number + 1, 0
+                    ids, sets = [], []
+        if ids:
+            yield chunk()
+
+    return docs.mapInArrow(run, CHUNKS)
+
+
+def _shared(chunks: DataFrame, parts: int) -> DataFrame:
+    """Rows r = -1 as they are. Of each range of each chunk the shingles that several texts have anywhere: places (first), shingles (second), texts (third)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groups(batches, "key"):
+            if key < 0:
+                yield from rows.to_batches()
+                continue
+            each = [unpacked(b, np.uint64) for b in rows.column("first").to_pylist()]
+            count = np.concatenate([unpacked(b, np.uint32, False) for b in rows.column("second").to_pylist()]).astype(np.int64)
+            _, back = np.unique(np.concatenate(each), return_inverse=True)
+            texts = np.bincount(back, count)[back]
+            out, at = [], 0
+            for chunk, start, x in zip(rows.column("chunk").to_pylist(), rows.column("start").to_pylist(), each, strict=True):
+                mine = texts[at : at + len(x)]
+                at += len(x)
+                often = np.flatnonzero(mine > 1)
+                if len(often):
+                    out.append({"key": key, "chunk": chunk, "r": key, "start": start, "first": packed(often.astype(np.uint32)), "second": packed(x[often]), "third": packed(mine[often].astype(np.uint64), False)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=rows.schema)
+
+    return chunks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, CHUNKS)
+
+
+def _candidates(chunks: DataFrame, reps: DataFrame, parts: int, percent: int) -> DataFrame:
+    """id, n, shingles shared with others (rarest first) and how many of them are in the prefix, of each representative that shares enough.
+
+    reps: chunk and the places of its texts that represent a class. A set that links shares at
+    least `percent` of its own shingles, so all other sets end here.
+    """
+    own = chunks.select("chunk", "r", "start", "ids", "n", "first", "second", "third").unionByName(reps.select("chunk", F.lit(-2).alias("r"), F.col("places").alias("ids")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, "chunk"):
+            kind = rows.column("r").to_pylist()
+            if -2 not in kind:
+                continue
+            at = kind.index(-1)
+            get = lambda c, k: rows.column(c)[k].as_py()
+            ids, sizes = get("ids", at), np.array(get("n", at), np.int64)
+            place = unpacked(get("first", at), np.uint32).astype(np.int64)
+            most = int(place.max()) + 1 if len(place) else 0
+            texts, names = np.zeros(most, np.int64), np.zeros(most, np.int64)
+            for k, r in enumerate(kind):
+                if r >= 0:
+                    where = get("start", k) + unpacked(get("first", k), np.uint32).astype(np.int64)
+                    names[where] = unpacked(get("second", k), np.uint64).astype(np.int64)
+                    texts[where] = unpacked(get("third", k), np.uint64, False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            out: dict[str, list] = {"id": [], "n": [], "shared": [], "k": []}
+            for p in sorted(x for k, r in enumerate(kind) if r == -2 for x in get("ids", k)):
+                n = int(sizes[p])
+                mine = place[ends[p] - n : ends[p]]
+                mine = mine[texts[mine] > 1]
+                if 100 * len(mine) < percent * n:
                     continue
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                hot = known[at] == s if len(known) else np.zeros(len(s), bool)
-                p = prefix(len(s), percent)
-                cold = s[~hot]
-                first = cold[:p]  # by hash
-                salt = np.full(len(first), -1, np.int32)
-                if len(first) < p:
-                    more = s[hot][np.lexsort((s[hot], often[at[hot]]))[: p - len(first)]]
-                    first, salt = np.concatenate([first, more]), np.concatenate([salt, np.full(len(more), doc_id % SALTS, np.int32)])
-                tokens.append(first.view(np.int64))
-                salts.append(salt)
-                ids.append(np.full(len(first), doc_id, np.int64))
-            join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-            return pa.RecordBatch.from_arrays([pa.array(join(tokens, np.int64)), pa.array(join(salts, np.int32)), pa.array(join(ids, np.int64))], names=["token", "salt", "id"])
-
-        return turn
-
-    return map_batches(docs, make, "token long, salt int, id long")
-
-
-def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """A number for each set, equal where links connect them: 100 * overlap >= percent * union."""
+                mine = mine[np.lexsort((names[mine], texts[mine]))]
+                for name, v in zip(out, (ids[p], n, names[mine], prefix(n, percent) - (n - len(mine))), strict=True):
+                    out[name].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int64())), pa.array(out["k"], pa.int32())], names=list(out))
+
+    return own.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "id long, n long, shared array<long>, k int")
+
+
+def link_sets(sets: list[np.ndarray], sizes: list[int] | None = None, percent: int = PERCENT) -> np.ndarray:
+    """A number for each set, equal where links connect them: 100 * overlap >= percent * union.
+
+    sizes: those of the whole sets, if what no other set has was left out.
+    """
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
+    given = np.array([len(s) for s in sets], np.int64)
+    size = given if sizes is None else np.array(sizes, np.int64)
     label = np.arange(m)
     if m == 2:
         o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.zeros(2, np.int64) if 100 * o >= percent * (size.sum() - o) and o else label
     order = np.argsort(size, kind="stable")
     size = size[order]
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m), given[order])
     kinds, token, count = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
     # rarest first; shingles of one set alone come before all others and need no list
     rank = np.empty(len(kinds), np.int64)
@@ -202,14 +264,13 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return out
 
 
-def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected within each `task` of rows task, id, text."""
+def _joined(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is connected within each `task` of rows task, id, n, shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
         for _, rows in groups(batches, "task"):
             ids = rows.column("id").to_numpy()
-            label = link_sets([shingles(x, numbers, width) for x in bytes_of(rows.column("text"))], percent)
+            label = link_sets([x.values.to_numpy() for x in rows.column("shared")], rows.column("n").to_pylist(), percent)
             # the first row of each label stands for it
             _, first, back = np.unique(label, return_index=True, return_inverse=True)
             lead = ids[first][back]
@@ -221,40 +282,30 @@ def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    spark = docs.sparkSession
-    own = columns(docs, "doc_id", "text")
-    seen = written(_digests(own, width))
-    rows = seen.where("kind = 0")
-    often = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
-    heavy = np.array([r["a"] for r in often], np.int64).view(np.uint64)
-    by = np.argsort(heavy)
-    count = np.array([r["n"] for r in often], np.int64)[by]
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    parts = _parts(docs.sparkSession)
+    chunks = written(_shared(_chunks(columns(docs, "doc_id", "text"), width, parts), parts))
+    flat = chunks.where("r = -1").select("chunk", F.posexplode(F.arrays_zip("ids", "n", "a", "b")).alias("place", "d"))
+    rows = written(flat.select("chunk", "place", F.col("d.ids").alias("doc_id"), "d.n", "d.a", "d.b"))
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
-    first = written(sets.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
-    copies = sets.join(first, ["a", "b", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = first.select(F.col("rep").alias("doc_id")).distinct()
-    posted = _postings(own.join(reps, "doc_id", "left_semi"), heavy[by], count, width, percent)
-    # stars: each list's members link with its least one; the parts of a common shingle's list link by their least ones
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("token", "salt")
-    lists = posted.select("token", "salt", "id", F.min("id").over(whole).alias("lead")).where("id <> lead OR salt >= 0")
-    lists = written(lists.select(F.when(F.col("salt") >= 0, F.col("token")).alias("token"), "id", "lead"))
-    leads = lists.where("token IS NOT NULL AND id = lead")
-    least = written(leads.groupBy("token").agg(F.min("lead").alias("top")))
-    across = leads.join(least, "token").select(F.col("lead").alias("a"), F.col("top").alias("b"))
-    blocks = written(components(lists.select(F.col("id").alias("a"), F.col("lead").alias("b")).unionByName(across)))
-    sized = blocks.join(first.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts"))
-    members = written(blocks.join(written(totals), "component"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tasks = members.withColumn("part", part).withColumn("other", other)
-    # parts i and j meet in the task of both; a part alone, where there is but one
-    tasks = tasks.withColumn("task", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))).select("id", "task")
-    work = own.join(tasks, own["doc_id"] == tasks["id"]).select("task", "id", "text")
-    found = _joined(work.repartition(_parts(spark), "task").sortWithinPartitions("task"), width, percent)
-    linked = written(components(written(found.unionByName(copies))))
+    first = written(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("rep")).select("a", "b", "n", F.col("rep.doc_id").alias("rep"), "rep.chunk", "rep.place"))
+    copies = sets.select("a", "b", "n", "doc_id").join(first, ["a", "b", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    reps = first.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("places"))  # at most a chunk's texts
+    found = written(_candidates(chunks, reps, parts, percent))
+    # stars: each index list's members link with its least one
+    posted = found.select("id", F.explode(F.slice("shared", F.lit(1), F.col("k"))).alias("token"))
+    leads = written(posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"))
+    blocks = written(components(posted.join(leads, "token").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
+    sized = found.select("id", F.size("shared").alias("s")).join(blocks, "id")
+    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("s") / PART_SHINGLES)).alias("parts"))
+    members = blocks.join(written(totals), "component")
+    # parts i and j of a block meet in the task of both; a part alone, where there is but one
+    tasks = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = written(tasks.select("id", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("task")))
+    work = found.select("id", "n", "shared").join(tasks, "id")
+    linked = _joined(work.repartition(parts, "task").sortWithinPartitions("task"), percent)
+    linked = written(components(linked.unionByName(copies)))
     # most documents link with nothing; those that do are one row each here
     out = rows.join(linked, rows["doc_id"] == linked["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
