@@ -40,7 +40,7 @@ SYMBOLS = 1 + OWN + CLASSES
 #: Texts of the first sample and its rounds; passes over all texts; tokens in a training window; tokens in a stretch of the forward recursion.
 SAMPLE, SAMPLE_ROUNDS, PASSES, WINDOW, STRETCH = 300, 8, 2, 512, 1024
 #: Bytes of text in a chunk, distinct words a task holds before it passes counts on, rows that a partial sum joins.
-CHUNK, HELD, FAN = 8_000_000, 400_000, 64
+CHUNK, HELD, FAN = 8_000_000, 400_000, 8
 SMOOTH = 0.1
 
 
@@ -68,6 +68,21 @@ class Symbols(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+class Slots(dict):
+    """word -> its place among known words, or after them among those that a chunk adds."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.words: list[bytes] = []
+        self.symbols: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        self.words.append(word)
+        self.symbols.append(1 + OWN + zlib.crc32(word) % CLASSES)
+        return out
+
+
 class Chain:
     """start: by state; moves: state to state; emit: symbols by states."""
 
@@ -276,48 +291,42 @@ def _chunks(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        symbols = Symbols(m.own)
-        fixed = set(m.own) | {END}
-        norm = np.log10(m.total + 0.5 * (m.distinct + 1))
-        listed: dict[bytes, tuple[float, float]] = {}
-        for w, c in m.listed.items():
-            a, n = m.classes[:, zlib.crc32(w) % CLASSES]
-            listed[w] = float(np.log10(c + 0.5) - norm), 0.0 if w in fixed else float(np.log10((c + 0.5) / (a + 0.5 * (n + 1))))
-        number, size = 0, 0
-        ids, sequences, sums = [], [], []
-        others: dict[bytes, int] = {}
-        cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        words = list(m.listed)
+        fixed = {END: 0} | {w: k + 1 for k, w in enumerate(m.own)}
+        kinds = np.fromiter((zlib.crc32(w) % CLASSES for w in words), np.int64, len(words))
+        symbol = np.fromiter((fixed.get(w, 1 + OWN + k) for w, k in zip(words, kinds.tolist(), strict=True)), np.int16, len(words))
+        count = np.fromiter(m.listed.values(), np.float64, len(words))
+        a, n = m.classes[:, kinds]
+        base_of = np.log10(count + 0.5) - np.log10(m.total + 0.5 * (m.distinct + 1))
+        own_of = np.where(symbol <= OWN, 0.0, np.log10((count + 0.5) / (np.where(symbol <= OWN, count, a) + 0.5 * (n + 1))))
+        known = {w: k for k, w in enumerate(words)}
+        number, size, slots = 0, 0, Slots(known)
+        ids, texts = [], []
 
         def chunk() -> pa.RecordBatch:
-            scores = m.chain.log10(sequences) + np.array([s[3] for s in sums])
-            join = lambda k, kind: np.concatenate([np.zeros(0, kind), *[c[k] for c in cells]]).astype(kind).tobytes()
-            return pa.RecordBatch.from_pydict({"chunk": [(TaskContext.get().partitionId() << 32) + number], "doc_ids": [ids], "n_tokens": [[s[0] for s in sums]], "n_known": [[s[1] for s in sums]], "base": [[s[2] for s in sums]], "score": [scores.tolist()], "words": [list(others)], "row": [join(0, np.int32)], "word": [join(1, np.int32)], "times": [join(2, np.int32)]}, schema=schema)
+            names = np.concatenate([symbol, np.array(slots.symbols, np.int16)])
+            scores = m.chain.log10([names[t] for t in texts])
+            n_known, base, cells = [], [], []
+            for k, t in enumerate(texts):
+                near = t[t < len(words)]
+                n_known.append(len(near))
+                base.append(float(base_of[near].sum()))
+                scores[k] += own_of[near].sum()
+                far, times = np.unique(t[t >= len(words)] - len(words), return_counts=True)
+                cells.append((np.full(len(far), k, np.int32), far, times))
+            join = lambda k: np.concatenate([c[k] for c in cells]).astype(np.int32).tobytes()
+            return pa.RecordBatch.from_pydict({"chunk": [(TaskContext.get().partitionId() << 32) + number], "doc_ids": [ids], "n_tokens": [[len(t) for t in texts]], "n_known": [n_known], "base": [base], "score": [scores.tolist()], "words": [slots.words], "row": [join(0)], "word": [join(1)], "times": [join(2)]}, schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")), strict=True):
                 tokens = tokens_of(text)
-                known, base, own, rare = 0, 0.0, 0.0, []
-                times: dict[bytes, int] = {}
-                for w in tokens:
-                    times[w] = times.get(w, 0) + 1
-                for w, t in times.items():
-                    if (x := listed.get(w)) is not None:
-                        known += t
-                        base += t * x[0]
-                        own += t * x[1]
-                    else:
-                        rare.append((others.setdefault(w, len(others)), t))
-                if rare:
-                    a = np.array(rare, np.int32)
-                    cells.append((np.full(len(a), len(ids), np.int32), a[:, 0], a[:, 1]))
                 ids.append(doc_id)
-                sequences.append(symbols.of(tokens).astype(np.int16))
-                sums.append((len(tokens), known, base, own))
+                texts.append(np.fromiter(map(slots.__getitem__, tokens), np.int32, len(tokens)))
                 size += len(text) + 64
                 if size > CHUNK:
                     yield chunk()
-                    number, size = number + 1, 0
-                    ids, sequences, sums, others, cells = [], [], [], {}, []
+                    number, size, slots = number + 1, 0, Slots(known)
+                    ids, texts = [], []
         if ids:
             yield chunk()
 
