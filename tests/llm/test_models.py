@@ -1,0 +1,302 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftspan.llm import hmm_lm as H
+from weftspan.llm import langid, line_rules, mixing, pii, quality_model
+from weftspan.llm.queries import op5_quality_classifier, op8_language_id, op9_quality_rules, op10_hidden_markov_lm
+
+DIR = "/root/testdata/sf0.01"
+
+
+def docs(spark):
+    return spark.read.parquet(f"{DIR}/documents.parquet")
+
+
+def crc(i, k):
+    return zlib.crc32(str(i).encode()) % k
+
+
+def test_classifier_on_held_out_labels(spark):
+    got = {r["doc_id"]: r for r in op5_quality_classifier(spark, DIR).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect() if crc(r["doc_id"], 3) == 1}
+    assert all(r["held_out"] == (crc(i, 3) == 1) and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
+    assert np.mean([got[i]["predicted"] == y for i, y in truth.items()]) > 0.95
+
+
+def test_classifier_scores_are_the_model_s(spark):
+    m = quality_model.Classifier().train([b"good words here now", b"*** bad *** bad", b"good text", b"%%% $$$"] * 5, [1, 0, 1, 0] * 5)
+    texts = ["good words", "*** bad bad", "", "x", "good " * 3000]
+    got = [r["score"] for r in quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), m).orderBy("doc_id").collect()]
+    for t, s in zip(texts, got, strict=True):
+        rows, shares = m.units(t.encode())
+        assert s == pytest.approx(m.probability(shares @ m.table[rows] if len(rows) else np.zeros(quality_model.WIDTH)), abs=1e-4)
+    assert got[0] > 0.5 > got[1]
+
+
+def test_language_on_held_out_rows(spark):
+    got = {r["doc_id"]: r for r in op8_language_id(spark, DIR).collect()}
+    right = [got[r["doc_id"]]["lang_pred"] == r["lang"] for r in docs(spark).collect() if r["lang"] and got[r["doc_id"]]["held_out"]]
+    assert np.mean(right) > 0.97 and all(r["held_out"] == (crc(i, 4) == 2) for i, r in got.items())
+
+
+def test_words_first_then_shorter_ngrams():
+    m = langid.Model({"a": ["hello hello world"], "b": ["hola mundo"]})
+    k = m.langs.index("a")
+    assert m.costs("hello")[k] == pytest.approx(math.log10(3 / 2)) and m.costs("hello")[1 - k] > m.costs("hello")[k]
+    # unseen words: the longest known n-grams decide
+    known = [x for g in langid.ngrams("hellx", 5) if (x := m.tables[5].get(g)) is not None]
+    assert known and np.allclose(m.costs("hellx"), np.mean(known, axis=0))
+    assert (m.costs("ααα") == m.lack).all() or (m.costs("ααα") <= m.lack).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab #*\n\t|é1"), max_size=60))
+def test_line_counts_against_the_slow_way(text):
+    b = text.encode()
+    words = b.split()
+    _, _, dups = line_rules.lines_of(b)
+    numbers = line_rules.Numbers()
+    got = (len(words), len(b.translate(None, line_rules.SPACE + line_rules.INNER)), len(b) - len(b.translate(None, line_rules.SYMBOLS)), dups, line_rules.repeated(numbers.of(words)))
+    assert got == line_rules.plain_counts(text)
+
+
+def test_line_rules(spark):
+    got = {r["doc_id"]: r for r in op9_quality_rules(spark, DIR).collect()}
+    for r in docs(spark).limit(150).collect():
+        x = got[r["doc_id"]]
+        counts = line_rules.plain_counts(r["text"])
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == counts
+        assert x["base_failed"] == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and not (x["base_failed"] and x["kept"])
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+    judged = [(got[i]["kept"], y) for i, y in truth.items() if i in got and not got[i]["base_failed"]]
+    assert np.mean([k == bool(y) for k, y in judged]) > 0.95
+
+
+def test_viterbi_and_gradient():
+    r = np.random.default_rng(0)
+    f = line_rules.Field(r.normal(size=(2, line_rules.FEATURES)), r.normal(size=(2, 2)))
+    for n in (1, 2, 5):
+        x = (r.random((n, line_rules.FEATURES)) < 0.3).astype(float)
+        s = x @ f.weights.T
+        total = lambda y, s=s, n=n: sum(s[k, y[k]] for k in range(n)) + sum(f.moves[y[k - 1], y[k]] for k in range(1, n))
+        paths = [[(p >> k) & 1 for k in range(n)] for p in range(2**n)]
+        assert total(f.viterbi(x).tolist()) == pytest.approx(max(map(total, paths)))
+        y = np.array(paths[-1])
+        w, m, value = f.gradient(x, y)
+        assert value == pytest.approx(total(y.tolist()) - np.logaddexp.reduce([total(p) for p in paths]))
+        f.weights[1, 0] += 1e-6
+        assert (f.gradient(x, y)[2] - value) / 1e-6 == pytest.approx(w[1, 0], abs=1e-4)
+        f.weights[1, 0] -= 1e-6
+
+
+EMAIL, IPS, CARDS, PHONES = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def plain_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    keep = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    return [(k, m.start(), m.end()) for k, p in zip(keep, (EMAIL, IPS, CARDS, PHONES), strict=True) for m in re.finditer(p, text) if keep[k](m[0])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("a1+@.-() _é25"), max_size=40))
+def test_exact_spans_of_odd_texts(text):
+    assert pii.exact(text) == plain_spans(text)
+
+
+def test_exact_spans_of_documents(spark):
+    for r in docs(spark).collect():
+        assert pii.exact(r["text"]) == plain_spans(r["text"])
+
+
+def test_luhn():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_semi_markov_sums_and_choice():
+    r = np.random.default_rng(2)
+    field = pii.SemiField(r.normal(size=(len(pii.LABELS), pii.SIZE)))
+    text = 'x token = "0123456789abcdef0123456789abcdef" 12 +1 (425) 555-9684 y'
+    for run in pii.runs(text):
+        cells = field.cells(text, run)
+        score = {(i, j): field.weights[:, f].sum(1) for i, j, f in cells}
+
+        def ways(i, n=len(run), score=score):
+            if i == n:
+                yield 0.0, []
+            for j in range(i + 1, min(n, i + pii.MOST) + 1):
+                for y in range(len(pii.LABELS)):
+                    if y or j - i == 1:
+                        for s, rest in ways(j):
+                            yield s + score[i, j][y], [(i, j, y), *rest]
+
+        every = list(ways(0))
+        best = max(every, key=lambda x: x[0])[1]
+        want = [(pii.LABELS[y], *pii.trimmed(text, run[i][0], run[j - 1][1])) for i, j, y in best if y]
+        assert field.decode(text, run) == [w for w in want if w[1] < w[2]]
+        gold = {(i, j): y for i, j, y in best}
+        value = field.gradient(len(run), cells, gold, np.zeros_like(field.weights))
+        assert value == pytest.approx(max(s for s, _ in every) - np.logaddexp.reduce([s for s, _ in every]))
+
+
+def test_the_field_finds_what_it_was_taught(spark):
+    field = pii.train([])
+    found = [pii.spans_of(t, field)[1] == spans for t, spans in pii.generated(400, seed=99)]
+    assert np.mean(found) > 0.97
+    base, spans = pii.spans_of('key = "0f1e2d3c4b5a69788796a5b4c3d2e1f00f1e2d3c" in 1999', field)
+    assert base == [] and [s[0] for s in spans] == ["secret"]
+    assert pii.masked("a 1.2.3.4 b", [("ip", 2, 9)]) == "a [IP] b"
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "1" * 100_000, "@" * 50_000, "+1" * 30_000, "1." * 30_000, "a@" * 30_000])
+def test_scans_are_linear(text):
+    import time
+
+    start = time.monotonic()
+    pii.spans_of(text, pii.SemiField(np.zeros((len(pii.LABELS), pii.SIZE))))
+    assert time.monotonic() - start < 5
+
+
+def water(sizes, weights, cap):
+    total, target, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        left = total - sum(t for k, t in enumerate(target) if k not in free)
+        share = {k: left * weights[k] / sum(weights[j] for j in free) for k in free}
+        over = [k for k in free if share[k] > cap * sizes[k]]
+        if not over:
+            for k in free:
+                target[k] = share[k]
+            break
+        for k in over:
+            target[k] = float(cap * sizes[k])
+            free.discard(k)
+    return target
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=9))
+def test_targets_by_rounds(spark, sizes):
+    frame = spark.createDataFrame([(f"s{k:02d}", n) for k, n in enumerate(sizes)], "source string, size long")
+    got = [r["target"] for r in mixing.targets(frame).orderBy("number").collect()]
+    assert got == pytest.approx(water(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 3))
+
+
+def test_mix_comes_near_its_targets(spark):
+    rows = mixing.mix(docs(spark)).collect()
+    source = {r["doc_id"]: r["source"] for r in docs(spark).collect()}
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(0.9 * t <= taken[s] <= t + 1e-6 for s, t in target.items())
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
+
+
+def test_mixed_repeats_documents(spark):
+    got = Counter(r["doc_id"] for r in mixing.mixed(docs(spark)).select("doc_id").collect())
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs(spark)).collect() if r["copies"]}
+    assert got == want
+
+
+def test_mix_runs_no_python(spark):
+    plan = mixing.mix(docs(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def tokens(text):
+    return (text or "").encode().lower().split() + [b"\n"]
+
+
+def test_language_model(spark):
+    rows = {r["doc_id"]: r["text"] for r in docs(spark).collect()}
+    counts: Counter = Counter()
+    for i, t in rows.items():
+        if crc(i, 5) != 1:
+            counts.update(tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    got = op10_hidden_markov_lm(spark, DIR).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = tokens(rows[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(words), sum(counts[w] > 0 for w in words), n, crc(r["doc_id"], 5) == 1)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_score_is_the_model_s_probability(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(1, "a b a c"), (2, "a a b"), (3, "c d"), (4, "new words a")], "doc_id long, text string")
+    model, counts = H.fit(frame, F.col("doc_id") < 4)
+    known = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    names = H.Symbols(model.own)
+    for r in H.score(frame, model, counts).collect():
+        words = tokens({1: "a b a c", 2: "a a b", 3: "c d", 4: "new words a"}[r["doc_id"]])
+        want = model.chain.log10([names.of(words)])[0]
+        for w in words:
+            if w != H.END and w not in model.own:
+                a, n = model.classes[:, zlib.crc32(w) % H.CLASSES]
+                want += math.log10((known.get(w, 0) + 0.5) / (a + 0.5 * (n + 1)))
+        assert r["score"] == pytest.approx(want)
+
+
+def chain(seed=0):
+    return H.Chain.first(np.random.default_rng(seed).random(H.SYMBOLS) * 100)
+
+
+def test_forward_sums_are_exact():
+    r = np.random.default_rng(1)
+    c = chain()
+    texts = [r.integers(0, H.SYMBOLS, n) for n in (1, 2, 300, 700, 2500)]
+    for stretch in (1, 7, 256, 10_000):
+        got = c.log10(texts, stretch)
+        for x, s in zip(texts, got, strict=True):
+            v, log = c.start * c.emit[x[0]], 0.0
+            for y in x[1:]:
+                log, v = log + math.log(v.sum()), (v / v.sum()) @ c.moves * c.emit[y]
+            assert s == pytest.approx((log + math.log(v.sum())) / math.log(10))
+    small = H.Chain(np.array([1.0] + [0] * 7), np.eye(8)[[1, 2, 3, 4, 5, 6, 7, 0]], np.full((H.SYMBOLS, 8), 1 / H.SYMBOLS))
+    assert small.log10([texts[2]])[0] == pytest.approx(-300 * math.log10(H.SYMBOLS))
+
+
+def test_expected_counts_are_exact():
+    r = np.random.default_rng(3)
+    c = chain()
+    x = r.integers(0, H.SYMBOLS, 9)
+    up, down = [c.start * c.emit[x[0]]], [np.ones(H.STATES)]
+    for y in x[1:]:
+        up.append(up[-1] @ c.moves * c.emit[y])
+    for y in x[:0:-1]:
+        down.insert(0, c.moves @ (c.emit[y] * down[0]))
+    z = up[-1].sum()
+    start, moves, emit = H.unpacked(c.expected([x, x[:1]]))
+    first = up[0] * down[0] / z + c.start * c.emit[x[0]] / (c.start * c.emit[x[0]]).sum()
+    assert np.allclose(start, first)
+    want = sum(np.outer(up[t - 1], c.emit[x[t]] * down[t]) * c.moves / z for t in range(1, 9))
+    assert np.allclose(moves, want) and emit.sum() == pytest.approx(10)
+
+
+def test_training_raises_the_likelihood():
+    r = np.random.default_rng(5)
+    texts = [np.where(np.arange(80) % 2 == r.integers(0, 2), r.integers(1, 20, 80), r.integers(100, 120, 80)) for _ in range(30)]
+    c, values = chain(), []
+    for _ in range(6):
+        values.append(sum(c.log10(texts)))
+        c = H.Chain.of_counts(c.expected(texts))
+    assert all(b > a for a, b in zip(values, values[1:], strict=False))
+
+
+def test_sums_by_a_tree(spark):
+    rows = spark.createDataFrame([(k, np.array([1.0, k]).tobytes()) for k in range(100)], "part long, v binary").repartition(10)
+    assert H._summed(rows, 100).tolist() == [100, 4950]
