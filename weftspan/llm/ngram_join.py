@@ -39,8 +39,8 @@ from ._words import Numbers, windows
 from .graph import components
 
 WIDTH, PERCENT = 4, 85
-#: Bits of a shingle's hash, and shingles of a chunk.
-BITS, CHUNK = 48, 3_000_000
+#: Bits of a shingle's hash; shingles of a chunk, for each range of hashes and at least and at most.
+BITS, EACH, LEAST, CHUNK = 48, 5000, 250_000, 3_000_000
 #: Sets and shingles of one part of a block.
 PART_SETS, PART_SHINGLES = 2000, 2_000_000
 #: Entries of a run of an index list.
@@ -83,6 +83,7 @@ def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, number = Numbers(), 0
+        most = min(CHUNK, max(LEAST, EACH * ranges))  # small chunks are kind to memory, but a range's part must be worth a row
         ids, sets, size = [], [], 0
         edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**BITS / ranges)).astype(np.uint64)
 
@@ -104,7 +105,7 @@ def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                 ids.append(doc_id)
                 sets.append(s)
                 size += len(s) + 16
-                if size > CHUNK:
+                if size > most:
                     yield chunk()
                     number, size = number + 1, 0
                     ids, sets = [], []
