@@ -118,6 +118,20 @@ def test_crawl(spark, site, tmp_path):
         Crawl(spark, Settings(warehouse=s.warehouse)).run()
 
 
+def test_sql_over_a_crawl(spark, site, tmp_path, capsys):
+    from weftspan import cli
+    from weftspan.plans.views import register
+
+    s = Settings(seed_urls=[f"{site}/"], warehouse=str(tmp_path / "w"), request_timeout=2)
+    Crawl(spark, s).run()
+    assert set(register(spark, s.warehouse)) == {"pages", "links", "link_relations", "crawl_errors", "crawl_meta", "completed_pages", "queue_status"}
+    assert spark.sql("SELECT count(*) FROM link_relations r JOIN pages p ON p.id = r.source_page_id JOIN pages q ON q.id = r.target_page_id").first()[0] == spark.table("links").count()
+    assert spark.sql("SELECT title FROM completed_pages ORDER BY ttfb_ms DESC, url LIMIT 10").count() == 5
+    assert {r[0] for r in spark.sql("SELECT status FROM queue_status").collect()} == {"completed", "skipped", "discovered"}
+    assert cli.main(["--query", "SELECT status, count(*) AS n FROM pages GROUP BY status ORDER BY 1", "-d", s.warehouse]) == 0
+    assert capsys.readouterr().out.split() == ["status,n", "completed,5", "discovered,1", "skipped,1"]
+
+
 def test_include_limit_and_resume(spark, site, tmp_path):
     s = Settings(seed_urls=[f"{site}/"], include_patterns=["/articles/", "/$"], warehouse=str(tmp_path / "w"), limit=1, request_timeout=2)
     crawl = Crawl(spark, s)

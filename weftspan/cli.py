@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import os
 import sys
 from pathlib import Path
@@ -18,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("urls", nargs="*", help="seed URLs; none goes on with what is queued")
     p.add_argument("--version", action="version", version=__version__)
     p.add_argument("--config", help=f"settings file, ./{CONFIG} if there is one")
+    p.add_argument("--query", help="run SQL over the crawl's tables and views, print CSV with a header, and stop")
     p.add_argument("--show-config", action="store_true", help="print the settings without secrets, and stop")
     flags = [
         ("-c", "--concurrency", "concurrency", int), ("-r", "--delay", "request_delay", float), ("-t", "--timeout", "request_timeout", str), ("-u", "--user-agent", "user_agent", str), ("-l", "--limit", "limit", int),
@@ -37,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
     given = vars(parser().parse_args(args))
     path = given.pop("config") or CONFIG
     file = settings.parse_yaml(Path(path).read_text()) if os.path.exists(path) else {}
-    show, seeds = given.pop("show_config"), given.pop("urls")
+    show, seeds, sql = given.pop("show_config"), given.pop("urls"), given.pop("query")
     try:
         s = settings.load(file, os.environ, given | ({"seed_urls": seeds} if seeds else {}))
         if show:
@@ -47,6 +49,8 @@ def main(args: list[str] | None = None) -> int:
     except settings.SettingsError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    if sql:
+        return query(sql, s.warehouse)
     log = logs.logger(s.log_level, s.log_file, s.log_max_size, s.log_max_backups, s.log_console)
     from .streaming.loop import Crawl, NothingToDo
 
@@ -62,5 +66,18 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def query(sql: str, warehouse: str) -> int:
+    """Prints a query's rows as CSV; they pass the driver one partition at a time."""
+    from .plans.views import register
+
+    spark = local_session(**{"spark.ui.showConsoleProgress": "false"})
+    register(spark, warehouse)
+    rows = spark.sql(sql)
+    out = csv.writer(sys.stdout)
+    out.writerow(rows.columns)
+    out.writerows(rows.toLocalIterator())
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())
