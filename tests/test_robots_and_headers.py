@@ -55,6 +55,13 @@ def test_verdict_is_the_same_everywhere(spark):
     assert got["https://h.example/z"] is False and got["https://h.example/a/b"] is True and got["https://unknown.example/a"]
 
 
+def test_rules_of_many_hosts(spark):
+    texts = {"a": TEXT, "b": "", "c": "User-agent: *\nAllow: /x*y$"}
+    frame = spark.createDataFrame([*texts.items(), ("d", None)], "host string, text string")
+    got = {r["host"]: r for r in R.read_rules(frame).collect()}
+    assert {h: got[h] for h in texts} == {r["host"]: r for r in R.rules_frame(spark, texts).collect()} and got["d"]["disallow"] == []
+
+
 def test_headers(spark):
     pairs = spark.createDataFrame([([("Content-Type", "text/html"), ("X-A", "1"), ("x-a", "2")],)], "h array<struct<name:string,value:string>>")
     assert pairs.select(D.headers_json(D.header_map(F.col("h")))).first()[0] == '{"content-type":"text/html","x-a":"1"}'

@@ -149,7 +149,8 @@ def title(html: Column) -> Column:
 
 def flat_links(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href and anchor_text of each flat anchor, in document order."""
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2))
-    found = pages.select("page_id", "url", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "link"))
+    # the page is searched once; the parts come from each short match
+    part = lambda m: F.struct(F.regexp_extract(m, ANCHOR, 1).alias("href"), F.regexp_extract(m, ANCHOR, 2).alias("text"))
+    anchors = F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)), part)
+    found = pages.select("page_id", "url", F.posexplode(anchors).alias("pos", "link"))
     return found.select("page_id", "url", "pos", F.col("link.href").alias("href"), F.trim(F.col("link.text")).alias("anchor_text"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import find_package
+
 #: Groups for any agent, and for agents whose name holds this word, apply.
 AGENT_WORD = "crawler"
 RULE = "struct<pattern:string,regex:string>"
@@ -64,6 +68,19 @@ def verdict(path: Column, disallow: Column, allow: Column) -> Column:
     return F.when(disallow.isNull() | none, F.lit(True)).otherwise(better)
 
 
+def read_rules(texts: DataFrame) -> DataFrame:
+    """RULES of a frame with host and text, in Arrow batches; a null text has no rules."""
+    find_package(texts.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            read = [parse(t or "") for t in rows["text"]]
+            ruled = lambda patterns: [{"pattern": p, "regex": regex_of(p)} for p in patterns]
+            yield pd.DataFrame({"host": rows["host"], "disallow": [ruled(r.disallow) for r in read], "allow": [ruled(r.allow) for r in read], "crawl_delay": [r.crawl_delay for r in read], "sitemaps": [r.sitemaps for r in read]})
+
+    return texts.select("host", "text").mapInPandas(run, RULES)
+
+
 def rules_frame(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """Rules by host (with port), of robots.txt texts."""
     ruled = lambda patterns: [(p, regex_of(p)) for p in patterns]

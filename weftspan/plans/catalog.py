@@ -130,8 +130,8 @@ def include_exclude(spark, sf_dir):
 SELECT url, CASE WHEN starts_with(path, '/fr/') THEN starts_with(path, '/fr/1') OR regexp_matches(path, '^/en/.*5.*\.html') WHEN regexp_matches(path, '^/.*\.html') THEN regexp_matches(path, '^/en/.*5.*\.html') WHEN path = '/es/' THEN regexp_matches(path, '^/en/.*5.*\.html') ELSE true END AS allowed FROM p""")
 def robots_allowed(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url")
-    hosts = [r["h"] for r in pages.select(urls.authority(F.col("url")).alias("h")).distinct().limit(10_000).collect()]
-    return robots.allowed_urls(pages, robots.rules_frame(spark, dict.fromkeys(hosts, ROBOTS)))
+    texts = pages.select(urls.authority(F.col("url")).alias("host")).distinct().withColumn("text", F.lit(ROBOTS))
+    return robots.allowed_urls(pages, robots.read_rules(texts))
 
 
 @query(f"""WITH {LIFE_SQL} SELECT id, json_extract_string(response_http_headers, '$."content-type"') AS content_type, CAST(coalesce(try_cast(nullif(regexp_extract(json_extract_string(response_http_headers, '$."content-length"'), '^([0-9]+)', 1), '') AS BIGINT), CASE WHEN json_extract_string(response_http_headers, '$."content-length"') IS NOT NULL THEN 0 END) AS BIGINT) AS content_length,
