@@ -51,6 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def first_by_hash(rows: DataFrame, rows_in_all: int, want: int) -> DataFrame:
+    """At most `want` rows, the first by a hash of doc_id.
+
+    Only rows with a hash below a bound are sorted, about twice as many as are wanted of a table of
+    `rows_in_all`, so that no task sends `want` rows of its own to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    parts = 1 << 30
+    bound = min(parts, int(parts * 2.0 * want / max(1, rows_in_all)) + 1)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    return rows.where(place < bound).orderBy(place, "doc_id", *[c for c in ("text",) if c in rows.columns]).limit(want)
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

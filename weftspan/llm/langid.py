@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import columns, map_batches
+from ._shared import columns, first_by_hash, map_batches
 from ._words import Rows, gathered
 
 #: Letters only; digits, marks of punctuation and underscores part words.
@@ -86,10 +86,8 @@ class Model:
 def fit(docs: DataFrame, learned: Column, sample: int = SAMPLE) -> Model:
     """A model of at most `sample` documents a language, of the rows where `learned` holds."""
     rows = columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned & (F.length("text") < 50_000))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    texts = {}
-    for lang in langs:
-        texts[lang] = [r["text"] for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    texts = {r["lang"]: [x["text"] for x in first_by_hash(rows.where(F.col("lang") == r["lang"]), r["count"], sample).collect()] for r in langs}
     return Model(texts)
 
 
