@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, written
+from ._shared import bytes_of, columns, first_by_hash, written
 
 #: The token that ends a text; no word has a line feed.
 END = b"\n"
@@ -40,7 +40,7 @@ SYMBOLS = 1 + OWN + CLASSES
 #: Texts of the first sample and its rounds; passes over all texts; tokens in a training window; tokens in a stretch of the forward recursion.
 SAMPLE, SAMPLE_ROUNDS, PASSES, WINDOW, STRETCH = 300, 8, 2, 512, 1024
 #: Bytes of text in a chunk, distinct words a task holds before it passes counts on, rows that a partial sum joins.
-CHUNK, HELD, FAN = 8_000_000, 400_000, 8
+CHUNK, HELD, FAN = 4_000_000, 200_000, 8
 SMOOTH = 0.1
 
 
@@ -107,7 +107,7 @@ class Chain:
         """Expected counts of starts, moves and emissions of these symbol sequences, in windows."""
         parts = sorted((x[i : i + window] for x in texts for i in range(0, len(x), window)), key=len, reverse=True)
         start, moves, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
-        lanes = 1024
+        lanes = 512
         for at in range(0, len(parts), lanes):
             some = parts[at : at + lanes]
             sizes = np.array([len(p) for p in some])
@@ -234,8 +234,17 @@ def fit(docs: DataFrame, learned: Column, passes: int = PASSES, sample: int = SA
     texts = columns(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & learned)
     counts = written(word_counts(texts))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    often = counts.where(F.length("word") <= LISTED_BYTES).orderBy(F.desc("c"), "word").limit(LISTED).collect()  # bounded in rows and bytes
-    listed = {bytes(r["word"]): r["c"] for r in often}
+    # counts by eighths of powers of two: the least one from which on there are at most LISTED words
+    step = F.floor(8 * F.log2("c"))
+    short = counts.where((F.length("word") <= LISTED_BYTES) & (F.col("c") > 0))
+    least, words = None, 0
+    for r in sorted(short.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        words += r["count"]
+        if words > LISTED:
+            break
+        least = r["s"]
+    often = short.where(step >= least).collect() if least is not None else []  # bounded in rows and bytes
+    listed = {bytes(r["word"]): r["c"] for r in sorted(often, key=lambda r: (-r["c"], bytes(r["word"])))}
     own = [w for w in listed if w != END][:OWN]
     classes = np.zeros((2, CLASSES))
     for r in counts.groupBy((F.crc32("word") % CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -249,7 +258,7 @@ def fit(docs: DataFrame, learned: Column, passes: int = PASSES, sample: int = SA
     unigram[1 + OWN :] = classes[0]
     chain = Chain.first(unigram)
     names = Symbols(own)
-    rows = texts.where("length(text) < 50000").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    rows = first_by_hash(texts.where("length(text) < 50000"), docs.count(), sample).collect()
     some = [names.of(tokens_of((r["text"] or "").encode())) for r in rows]
     for _ in range(SAMPLE_ROUNDS if some else 0):
         learnt = Chain.of_counts(chain.expected(some))
@@ -265,7 +274,7 @@ def fit(docs: DataFrame, learned: Column, passes: int = PASSES, sample: int = SA
                 for text in bytes_of(batch.column("text")):
                     held.append(names.of(tokens_of(text)))
                     size += len(held[-1])
-                    if size > 500_000:
+                    if size > 250_000:
                         x = chain.expected(held)
                         total, held, size = x if total is None else total + x, [], 0
             if held:
