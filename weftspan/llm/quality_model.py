@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, columns, map_batches
+from ._shared import bytes_of, columns, first_by_hash, map_batches
 from ._words import MIX, Rows, gathered
 
 BUCKETS, WIDTH = 1 << 16, 16
@@ -123,7 +123,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPLE) -> Classifier:
     """A classifier of at most `sample` labelled documents where `learned` holds, the first by a hash of the id."""
     marked = columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"]).where(learned)
-    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` rows of two numbers
+    chosen = F.broadcast(first_by_hash(marked, marked.count(), sample))  # at most `sample` rows of two numbers
     rows = columns(docs, "doc_id", "text").join(chosen, "doc_id").where("length(text) < 50000").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     texts, kinds, size = [], [], 0
     for r in rows:
