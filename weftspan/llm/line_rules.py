@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, map_batches
+from ._shared import bytes_of, columns, first_by_hash, map_batches
 from ._words import INNER, Numbers, windows
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -179,7 +179,8 @@ def train(texts: list[bytes], good: list[int], rounds: int = 30, rate: float = 0
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field trained on at most `sample` labelled documents, half of them of each label, chosen by a hash of the id."""
     marked = columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
-    parts = [marked.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (0, 1)]
+    count = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
+    parts = [first_by_hash(marked.where(F.col("quality") == y), count.get(y, 0), sample // 2) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most `sample` rows of two numbers
     rows = columns(docs, "doc_id", "text").where("text IS NOT NULL AND length(text) < 50000").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
     texts, good, size = [], [], 0
