@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, online, with a bounded number of open bins.
 
 Documents become token ids and an end id; what is longer than a sequence is cut into full
-pieces, the first one taking what is left over. Pieces meet the bins in an order that a hash
-gives. A bin that a piece fits into with the least room left takes it (a bitset keyed by
+pieces, the first one taking what is left over. Pieces arrive in windows that a hash gives, the
+longest of a window first. A bin that a piece fits into with the least room left takes it (a bitset keyed by
 free space finds it in constant time); if there is none, a new bin opens, and if all are
 open, the fullest closes first. Bins of full pieces never open.
 
@@ -27,6 +27,8 @@ from ._shared import columns, map_batches
 SEQUENCE, END_ID = 1024, 2
 #: Bins a packing task keeps open, and pieces it takes on average: both bound its memory.
 OPEN_BINS, TASK_PIECES = 4096, 1_000_000
+#: Documents of a window: the pieces of fewer than the open bins, so that no bin closes while its window is packed.
+WINDOW = 2048
 
 
 def tokenizer(ranks_path: str, special: dict[str, int]):
@@ -129,7 +131,9 @@ def pack_documents(docs: DataFrame, with_ids: bool = True, task_pieces: int = TA
     Rows of the table are counted first (from Parquet's footers), so that a packing task has about
     `task_pieces` documents at any size of the input.
     """
-    tasks = max(1, -(-docs.count() // task_pieces))
+    rows = docs.count()
+    tasks = max(1, -(-rows // task_pieces))
+    windows = max(1, -(-rows // (tasks * WINDOW)))
     cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
     cut = cut if with_ids else cut.drop("ids")
-    return pack(cut, tasks=tasks, order=F.xxhash64("doc_id", "piece"))
+    return pack(cut, tasks=tasks, order=F.struct(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(windows)), -F.col("length")))
