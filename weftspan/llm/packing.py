@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from ._shared import columns, map_batches
 
 SEQUENCE, END_ID = 1024, 2
-#: Bins a packing task keeps open, and pieces it takes on average: both bound its memory.
-OPEN_BINS, TASK_PIECES = 4096, 1_000_000
+#: Bins a packing task keeps open, and documents whose pieces it takes: both bound its memory. A task ends with a few bins half full.
+OPEN_BINS, TASK_DOCUMENTS = 4096, 20_000
 #: Documents of a window: the pieces of fewer than the open bins, so that no bin closes while its window is packed.
 WINDOW = 2048
 
@@ -125,14 +125,14 @@ def pack(items: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, tas
     return dealt.mapInArrow(run, out).select(*names, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, with_ids: bool = True, task_pieces: int = TASK_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, with_ids: bool = True, task_documents: int = TASK_DOCUMENTS) -> DataFrame:
     """Pieces of all documents with their sequence and offset; ids too, or only their crc32 as ids_crc32.
 
-    Rows of the table are counted first (from Parquet's footers), so that a packing task has about
-    `task_pieces` documents at any size of the input.
+    Rows of the table are counted first (from Parquet's footers), so that a packing task has the
+    pieces of about `task_documents` documents at any size of the input.
     """
     rows = docs.count()
-    tasks = max(1, -(-rows // task_pieces))
+    tasks = max(1, -(-rows // task_documents))
     windows = max(1, -(-rows // (tasks * WINDOW)))
     cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
     cut = cut if with_ids else cut.drop("ids")
