@@ -6,7 +6,7 @@ target divided by the source's words (times an importance, if given), at most `c
 whole part is certain. The rest is its inclusion probability for one copy more: documents are
 ranked by random odds divided by inclusion odds, and the first are taken up to the words that
 the target still lacks. Where the next one is too long for what is left, ROUNDS further
-passes take the first that fit. Random numbers are hashes of the id, so reruns agree.
+passes take the first that fit, and at last the shortest is taken if that comes nearer. Random numbers are hashes of the id, so reruns agree.
 
 A source may hold any share of the rows: its cut in the order is found from sums over PARTS
 parts of the order, then over PARTS parts of one part, and only the rows of one part of a part
@@ -73,6 +73,18 @@ def _cut(rows: DataFrame, quota: DataFrame) -> DataFrame:
     return written(plain.unionByName(close).select(*rows.columns))
 
 
+def _nearer(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    """rows with `extra` 1 also for the shortest candidate of each source that overshoots the quota by less than is lacking."""
+    mark = ["size", "order", "u", "doc_id"]
+    open_ = (F.col("extra") == 0) & (F.col("whole") < F.col("most")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("quota"))
+    best = written(rows.join(quota, "number").where(open_).groupBy("number").agg(F.min(F.struct(*mark)).alias("best")))
+    open_again = (F.col("extra") == 0) & (F.col("whole") < F.col("most")) & F.struct(*mark).eqNullSafe(F.col("best"))
+    marked = rows.join(best, "number", "left").withColumn("hit", F.col("best").isNotNull() & open_again)
+    # equal rows hit together; one of them is taken
+    one = marked.where("hit").withColumn("extra", (F.row_number().over(Window.partitionBy("number").orderBy("doc_id")) == 1).cast("int"))
+    return written(marked.where("NOT hit").unionByName(one).select(*rows.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, importance: Column | None = None, seed: str = "mix", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (size times copies) of every document.
 
@@ -91,9 +103,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, i
     place = F.least(F.floor(F.col("order") * PARTS * PARTS), F.lit(PARTS * PARTS - 1))
     rows = rows.withColumn("a", F.floor(place / PARTS)).withColumn("b", place % PARTS)
     rows = written(rows.select("doc_id", "size", "u", "number", "source_size", "target", "whole", "order", "a", "b", F.lit(0).alias("extra"), F.lit(cap).alias("most")))
-    for _ in range(1 + rounds):
+    for k in range(2 + rounds):
         taken = rows.groupBy("number").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("quota"))
-        rows = _cut(rows, written(taken))
+        rows = (_cut if k <= rounds else _nearer)(rows, written(taken))
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
@@ -118,6 +130,11 @@ def oracle(rounds: int = ROUNDS) -> str:
     c{k} AS (SELECT i, sum(size) OVER (PARTITION BY source_no ORDER BY ord, u, doc_id, size, i ROWS UNBOUNDED PRECEDING) <= quota AS fits
         FROM r{k} JOIN q{k} USING (source_no) WHERE extra = 0 AND whole < 3 AND size > 0 AND size <= quota),
     r{k + 1} AS (SELECT r{k}.* EXCLUDE (extra), CASE WHEN c{k}.fits THEN 1 ELSE extra END AS extra FROM r{k} LEFT JOIN c{k} USING (i))""")
+    k = 1 + rounds
+    passes.append(f"""
+    q{k} AS (SELECT source_no, any_value(target) - sum(size * (whole + extra)) AS quota FROM r{k} GROUP BY source_no),
+    c{k} AS (SELECT i, row_number() OVER (PARTITION BY source_no ORDER BY size, ord, u, doc_id, i) AS place FROM r{k} JOIN q{k} USING (source_no) WHERE extra = 0 AND whole < 3 AND size > 0 AND size < 2 * quota),
+    r{k + 1} AS (SELECT r{k}.* EXCLUDE (extra), CASE WHEN c{k}.place = 1 THEN 1 ELSE extra END AS extra FROM r{k} LEFT JOIN c{k} USING (i))""")
     return f"""
     WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
         (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
@@ -132,4 +149,4 @@ def oracle(rounds: int = ROUNDS) -> str:
     o AS (SELECT *, (u / (1 - u)) / CASE WHEN p > 0 THEN p / (1 - p) END AS odds FROM p),
     r0 AS (SELECT i, doc_id, size, u, source_no, source_size, target, whole, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1.0 END AS ord, 0 AS extra FROM o),
     {",".join(passes)}
-    SELECT doc_id, size, source_size, target, CAST(whole + extra AS BIGINT) AS copies, CAST(size * (whole + extra) AS BIGINT) AS taken FROM r{1 + rounds}"""
+    SELECT doc_id, size, source_size, target, CAST(whole + extra AS BIGINT) AS copies, CAST(size * (whole + extra) AS BIGINT) AS taken FROM r{2 + rounds}"""
