@@ -48,6 +48,13 @@ def test_language_on_held_out_rows(spark):
     assert np.mean(right) > 0.97 and all(r["held_out"] == (crc(i, 4) == 2) for i, r in got.items())
 
 
+def test_texts_without_letters(spark):
+    m = langid.Model({"a": ["hello hello world"], "b": ["hola mundo"]})
+    texts = ["123 ½ ²", "_ - 1", "½ hello", "é"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), m).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got][:3] == ["und", "und", "a"] and got[3]["lang_pred"] in ("a", "b")
+
+
 def test_words_first_then_shorter_ngrams():
     m = langid.Model({"a": ["hello hello world"], "b": ["hola mundo"]})
     k = m.langs.index("a")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._shared import columns, first_by_hash, map_batches
 from ._words import Rows, gathered
 
-#: Letters only; digits, marks of punctuation and underscores part words.
+#: Letters, and numerals that aren't digits; digits, marks of punctuation and underscores part words.
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Bounds of the model: documents per language it learns from, and words and n-grams kept per language.
@@ -101,7 +101,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []
-            found = [WORD.findall(t.lower()) if t and rows is not None else [] for t in batch.column("text").to_pylist()]
+            found = [WORD.findall(t.lower()) if t and rows is not None and any(map(str.isalpha, t)) else [] for t in batch.column("text").to_pylist()]
             for texts in gathered(found):
                 sizes = np.array([len(w) for w in texts])
                 starts = (np.cumsum(sizes) - sizes)[sizes > 0]
