@@ -13,8 +13,8 @@ in one task:
   from those, by the lists of the shingles in which the two differ;
 - a set all of whose candidates are linked with it already is not compared at all.
 
-A block over the bounds is split by hash, and each two of its parts are joined in one task, so
-that tasks stay bounded and no link is lost.
+A block over the bounds is split by hash. Its parts are joined, and what is not in its largest
+class by then meets every part, so that tasks stay bounded and no link is lost.
 
 Results for odd rows: null and empty texts have no shingles and link with nothing; texts with
 fewer words than a shingle have one, the whole sequence; rows that share a doc_id count as one
@@ -281,6 +281,42 @@ def _joined(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _tasks(found: DataFrame, tasks: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links within each task of rows id, task."""
+    work = found.select("id", "n", "shared").join(tasks, "id")
+    return _joined(work.repartition(parts, "task").sortWithinPartitions("task"), percent)
+
+
+def _large(found: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links of blocks that are too large for a task: id, component, parts.
+
+    Parts of a block are joined each on its own, then one set of each class that this finds. What is
+    in the block's largest class by then needs no comparison with the rest of that class. All others
+    meet every part of the block, a part of theirs and a part of the block in a task.
+    """
+    members = written(members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    own = written(_tasks(found, members.select("id", F.xxhash64("component", "part").alias("task")), parts, percent))
+
+    def classed(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("component", "class")
+        return written(members.join(roots, "id", "left").withColumn("class", F.coalesce("class", "id")))
+
+    leads = classed(own).groupBy("component", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("m")).where("m > 1")
+    some = leads.groupBy("component").agg(F.ceil(F.count("*") / PART_SETS).alias("groups"))
+    leads = leads.join(written(some), "component").select("id", F.xxhash64("component", F.lit("lead"), F.pmod(F.xxhash64("id"), F.col("groups"))).alias("task"))
+    links = written(own.unionByName(_tasks(found, leads, parts, percent)))
+    now = classed(links)
+    counts = now.groupBy("component", "class").agg(F.count("*").alias("m"))
+    most = counts.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("top"))
+    most = written(most.withColumn("groups", F.ceil((F.col("all") - F.col("top")) / PART_SETS)).where("groups > 0"))
+    now = now.join(most, "component")
+    meet = lambda i, j: F.xxhash64("component", F.lit("meet"), i, j).alias("task")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    all_ = now.withColumn("j", each("groups")).select("id", meet(F.col("part"), F.col("j")))
+    others = now.where("class <> most").withColumn("i", each("parts")).select("id", meet(F.col("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups"))))
+    return links.unionByName(_tasks(found, written(all_.unionByName(others).distinct()), parts, percent))
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     if not 0 < percent <= 100:
@@ -299,14 +335,12 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     leads = written(posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"))
     blocks = written(components(posted.join(leads, "token").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
     sized = found.select("id", F.size("shared").alias("s")).join(blocks, "id")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("s") / PART_SHINGLES)).alias("parts"))
-    members = blocks.join(written(totals), "component")
-    # parts i and j of a block meet in the task of both; a part alone, where there is but one
-    tasks = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = written(tasks.select("id", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("task")))
-    work = found.select("id", "n", "shared").join(tasks, "id")
-    linked = _joined(work.repartition(parts, "task").sortWithinPartitions("task"), percent)
-    linked = written(components(linked.unionByName(copies)))
+    totals = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("s") / PART_SHINGLES)).alias("parts")))
+    members = written(blocks.join(totals, "component"))
+    links = _tasks(found, members.where("parts = 1").select("id", F.xxhash64("component").alias("task")), parts, percent)
+    if totals.where("parts > 1").limit(1).count():
+        links = links.unionByName(_large(found, members.where("parts > 1"), parts, percent))
+    linked = written(components(links.unionByName(copies)))
     # most documents link with nothing; those that do are one row each here
     out = rows.join(linked, rows["doc_id"] == linked["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
