@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ._shared import columns, written
 
 WEIGHTS, CAP, PARTS, ROUNDS = (5, 2, 1), 3, 256, 3
+#: Sources up to which tables of a row of a few numbers for each source are broadcast; beyond, joins shuffle.
+FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,22 +47,22 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     return filled.select("source", "number", "source_size", "weight", target.alias("target"))
 
 
-def _cut(rows: DataFrame, quota: DataFrame) -> DataFrame:
+def _cut(rows: DataFrame, quota: DataFrame, small) -> DataFrame:
     """rows with `extra` 1 also for those candidates that come first in order and together fit the quota of their source."""
     open_ = (F.col("extra") == 0) & (F.col("whole") < F.col("most")) & (F.col("size") > 0)
-    now = rows.join(quota, "number").withColumn("cand", open_ & (F.col("size") <= F.col("quota")))
+    now = rows.join(small(quota), "number").withColumn("cand", open_ & (F.col("size") <= F.col("quota")))
     cands = now.where("cand")
     run = Window.partitionBy("number").orderBy("part")
     edges = None
     # the first part, then the first part of that part, whose words no longer fit
     for at, name in (("a", "cut_a"), ("b", "cut_b")):
-        inner = cands if edges is None else cands.join(edges, "number").where("a = cut_a")
+        inner = cands if edges is None else cands.join(small(edges), "number").where("a = cut_a")
         had = F.lit(0) if edges is None else F.col("had")
         sums = inner.groupBy("number", F.col(at).alias("part")).agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first(had).alias("had"))
         sums = sums.withColumn("upto", F.col("had") + F.sum("words").over(run)).where("upto > quota")
         least = sums.groupBy("number").agg(F.min("part").alias(name), F.min(F.struct("part", F.expr("upto - words").alias("had")))["had"].alias("had"))
-        edges = written(least if edges is None else edges.drop("had").join(least, "number"))
-    marked = now.join(edges, "number", "left")
+        edges = least if edges is None else edges.drop("had").join(small(least), "number")
+    marked = now.join(small(edges), "number", "left")
     cut = F.col("cut_a").isNotNull()
     last = F.col("cand") & cut & (F.col("a") == F.col("cut_a")) & (F.col("b") == F.col("cut_b"))
     first = F.col("cand") & (~cut | (F.col("a") < F.col("cut_a")) | ((F.col("a") == F.col("cut_a")) & (F.col("b") < F.col("cut_b"))))
@@ -73,13 +75,13 @@ def _cut(rows: DataFrame, quota: DataFrame) -> DataFrame:
     return written(plain.unionByName(close).select(*rows.columns))
 
 
-def _nearer(rows: DataFrame, quota: DataFrame) -> DataFrame:
+def _nearer(rows: DataFrame, quota: DataFrame, small) -> DataFrame:
     """rows with `extra` 1 also for the shortest candidate of each source that overshoots the quota by less than is lacking."""
     mark = ["size", "order", "u", "doc_id"]
     open_ = (F.col("extra") == 0) & (F.col("whole") < F.col("most")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("quota"))
-    best = written(rows.join(quota, "number").where(open_).groupBy("number").agg(F.min(F.struct(*mark)).alias("best")))
+    best = rows.join(small(quota), "number").where(open_).groupBy("number").agg(F.min(F.struct(*mark)).alias("best"))
     open_again = (F.col("extra") == 0) & (F.col("whole") < F.col("most")) & F.struct(*mark).eqNullSafe(F.col("best"))
-    marked = rows.join(best, "number", "left").withColumn("hit", F.col("best").isNotNull() & open_again)
+    marked = rows.join(small(best), "number", "left").withColumn("hit", F.col("best").isNotNull() & open_again)
     # equal rows hit together; one of them is taken
     one = marked.where("hit").withColumn("extra", (F.row_number().over(Window.partitionBy("number").orderBy("doc_id")) == 1).cast("int"))
     return written(marked.where("NOT hit").unionByName(one).select(*rows.columns))
@@ -95,6 +97,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, i
     random = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     sized = written(own.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), random.alias("u"), factor.alias("factor")))
     sources = written(targets(sized, weights, cap))
+    small = F.broadcast if sources.count() <= FEW_SOURCES else (lambda x: x)
     rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rate = F.least(F.lit(float(cap)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("factor"))
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
@@ -105,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, i
     rows = written(rows.select("doc_id", "size", "u", "number", "source_size", "target", "whole", "order", "a", "b", F.lit(0).alias("extra"), F.lit(cap).alias("most")))
     for k in range(2 + rounds):
         taken = rows.groupBy("number").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("quota"))
-        rows = (_cut if k <= rounds else _nearer)(rows, written(taken))
+        rows = (_cut if k <= rounds else _nearer)(rows, taken, small)
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
