@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from weftspan.llm import langid, mixing, ngram_join, packing, pii, quality_model
 from weftspan.llm._shared import prepare, table, written
 
+#: Words of a shingle, and the percentage of shared shingles from which on documents are copies; op3's own query has others.
+SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
+
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of at least a half)."""
@@ -20,7 +23,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group that shingles link; documents without an id all stay."""
     prepare(spark)
-    found = ngram_join.classes(docs)
+    found = ngram_join.classes(docs, SHINGLE_WORDS, ALIKE_PERCENT)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 

@@ -164,3 +164,13 @@ def test_recursion_skips_distant_blocks():
 def test_forest():
     ends = G.forest(np.array([5, 7, 9]), np.array([7, 3, 9]))
     assert dict(zip(*[e.tolist() for e in ends], strict=True)) == {5: 3, 7: 3}
+
+
+def test_the_pipeline_links_by_five_words_and_four_fifths(spark):
+    from corpus_pipeline import deduplicated
+
+    one = [f"w{k}" for k in range(100)]
+    far = [*one[:30], "x", *one[31:70], "y", *one[71:]]  # 4 words 89 / 105 = 0.848, linked by five words: 86 / 106 = 0.811
+    none = [*one[:20], "x", *one[21:50], "y", *one[51:80], "z", *one[81:]]  # 5 words 81 / 111 = 0.73
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(far)), (3, " ".join(none))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in deduplicated(spark, docs, "").collect()) == [1, 3]
