@@ -60,6 +60,32 @@ def test_flat_reading_is_the_general_one(spark):
     assert titles.count() == 0
 
 
+def test_every_anchor_of_any_page(spark):
+    from weftspan.operators.graph import links_of_pages, links_of_parsed
+
+    flat = '<p>x</p><a href="/one">One</a>'
+    odd = [
+        PAGE, '<a class="c" href="/c" rel="nofollow">C</a>', "<a href='/s'>S</a>", '<A HREF="/u">U</A>', '<a href="/n"><b>N</b> m</a>', '<a href="rel">r</a>', '<a href="https://other.example/x?y">o</a>', '<a href="//third.example/">t</a>', '<a href="/e&amp;f">a &lt; b</a>',
+        '<a href="/q?a=1#f">q</a>', '<a href="/x/../y">d</a>', '<a href="/..">d</a>', '<a href="/.hidden/a.b">h</a>', '<a href="/ä b">sp</a>', '<a href="/ä/~x">t</a>', '<a href="/ü">\n ü \xa0</a>', '<a href="">e</a><a href="#f">f</a><a href="mailto:a@b.example">m</a>', '<a\nhref="/nl">nl</a>', '<img alt=\'<a href="/no">no</a>\'>',
+        '<!-- <a href="/no">no</a> -->', '<script>"<a href=\\"/no\\">"; x = \'<a href="/no">no</a>\'</script>', '<title><a href="/no">no</a></title>', '<a href="/1">x<a href="/2">y</a>z</a>', '<a href="/open">open', '<textarea><a href="/t">t</a></textarea>', "<a", "", None, "no anchor < here", '<a href="/a//b">s</a>', '<a href="/%zz">z</a>',
+    ]
+    rows = [(k, f"https://h.example/d/{k}", p if p is None or k % 2 else f"{flat}{p}") for k, p in enumerate([*odd, *odd[1:]])]
+    rows += [(1000, "https://user:pw@h.example:80/", flat), (1001, "http://h.example:99999/", flat), (1002, None, PAGE), (1003, "https://h.example", flat)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = links_of_pages(pages)
+    want = links_of_parsed(H.parse_pages(pages.where("url IS NOT NULL")), keep=["page_id"])
+    cols = ["page_id", "pos", "source_url", "target_url", "anchor_text", "link_type", "rel_attribute"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert ("https://h.example/c", "nofollow") in {(r["target_url"], r["rel_attribute"]) for r in got.collect()} and {r["link_type"] for r in got.collect()} == {"internal", "external"}
+
+
+def test_given_pages_stay_inside_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert pages.where(~H.covered(F.col("html"), F.col("url"))).count() == 0
+
+
 def test_null_pages_through_spark(spark):
     rows = spark.createDataFrame([(1, "https://h.example/", None), (2, "https://h.example/2", "<title>x</title>")], "page_id long, url string, html string")
     assert {r["page_id"]: r["title"] for r in H.parse_pages(rows).collect()} == {1: "", 2: "x"}

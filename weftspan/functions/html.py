@@ -19,6 +19,25 @@ from ..session import find_package
 from .urls import DEFAULT_SCHEMES, resolve
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
+#: A segment's characters in a path that is the same resolved by either way: no escapes, dots as a segment, queries or colons.
+_CHARS = r"[[A-Za-z0-9,._-][^\x00-\x7F]]"
+_FLAT = rf'(?-i:<a href="/(?:(?!\.{{1,2}}/){_CHARS}++/)*+(?!\.{{1,2}}"){_CHARS}*+">)[ [^<&\p{{Cc}}\p{{Z}}]]*+(?-i:</a>)'
+#: Elements whose content is no markup.
+_RAW = "script|style|title|textarea|iframe|noembed|noframes|noscript|xmp|plaintext"
+_ATTRIBUTE = r"""[ \t\n\r\f]++[a-z][a-z0-9_:.-]*+(?:="[^"<>]*+"|='[^'<>]*+')?+"""
+#: Whole pages that a tokenizer surely splits as these words say, with no anchor but flat ones outside of all else. Java's syntax; nothing backtracks.
+COVERED = "(?i)\\A(?:" + "|".join((
+    "[^<]++",
+    _FLAT,
+    "<title>[^<]*+</title>",
+    r"<!doctype [a-z0-9 ]*+>",
+    "<!--[^<>]*-->",
+    rf"<(script|style)(?:{_ATTRIBUTE})*+>(?:[^<]++|<(?!/?script|/?style|!--|a))*+</\1>",
+    rf"</(?!(?:{_RAW})(?![a-z0-9-]))[a-z][a-z0-9-]*+>",
+    rf"<(?!(?:a|{_RAW})(?![a-z0-9-]))[a-z][a-z0-9-]*+(?:{_ATTRIBUTE})*+[ \t\n\r\f]*+/?>",
+)) + ")*+\\z"
+#: URLs of pages whose origin is the same by either way.
+PLAIN_ORIGIN = r"^https?://[A-Za-z0-9.-]+(:[0-9]{1,4})?([/?#]|$)"
 PARSED = "title string, meta_description string, meta_robots string, canonical_url string, content_hash string, links array<struct<url:string,anchor_text:string,rel_attribute:string,is_external:boolean>>"
 
 
@@ -147,6 +166,11 @@ def title(html: Column) -> Column:
     return F.trim(unescaped(F.coalesce(F.try_element_at(F.regexp_extract_all(html, F.lit("(?s)<title>(.*?)</title>"), F.lit(1)), F.lit(-1)), F.lit(""))))
 
 
+def covered(html: Column, url: Column) -> Column:
+    """Whether flat_links() surely reads what parse_page() does; never null."""
+    return F.coalesce(html.rlike(COVERED) & url.rlike(PLAIN_ORIGIN), F.lit(False))
+
+
 def flat_links(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href and anchor_text of each flat anchor, in document order."""
     # the page is searched once; the parts come from each short match

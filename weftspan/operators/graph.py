@@ -19,16 +19,23 @@ def node_id(url: Column) -> Column:
 
 
 def links_of_pages(pages: DataFrame, schemes: Sequence[str] = U.DEFAULT_SCHEMES) -> DataFrame:
-    """page_id, pos, source_url, target_url, anchor_text, link_type and rel_attribute of flat anchors with rooted paths; JVM only."""
-    found = H.flat_links(pages).where(~U.ignored_href(F.col("href")) & U.href_gate(F.col("href"), schemes))
+    """page_id, pos, source_url, target_url, anchor_text, link_type and rel_attribute of every anchor of pages with a URL.
+
+    Pages of flat anchors with rooted paths stay inside the JVM; all others that may have an anchor are parsed.
+    """
+    pages = pages.select("page_id", "url", "html").where("url IS NOT NULL AND html IS NOT NULL")
+    flat = H.covered(F.col("html"), F.col("url"))
+    parsed = H.parse_pages(pages.where(~flat & F.col("html").rlike("(?i)<a[^a-z>]")), schemes)
+    found = H.flat_links(pages.where(flat)).where(~U.ignored_href(F.col("href")) & U.href_gate(F.col("href"), schemes))
     found = found.withColumn("target_url", U.resolve_rooted(F.col("url"), F.col("href"))).where(U.href_gate(F.col("target_url"), schemes))
-    return found.select("page_id", "pos", F.col("url").alias("source_url"), "target_url", "anchor_text", U.link_type(F.col("target_url"), F.col("url")).alias("link_type"), F.lit("").alias("rel_attribute"))
+    found = found.select("page_id", "pos", F.col("url").alias("source_url"), "target_url", "anchor_text", U.link_type(F.col("target_url"), F.col("url")).alias("link_type"), F.lit("").alias("rel_attribute"))
+    return found.unionByName(links_of_parsed(parsed, keep=["page_id"]))
 
 
-def links_of_parsed(parsed: DataFrame, source: str = "url", save_external: bool = True) -> DataFrame:
-    """The links of html.parse_pages()'s rows; source: the column with the URL that answered, after redirects."""
-    rows = parsed.select(F.col(source).alias("source_url"), F.posexplode("links").alias("pos", "link"))
-    rows = rows.select("source_url", "pos", F.col("link.url").alias("target_url"), "link.anchor_text", F.when(F.col("link.is_external"), "external").otherwise("internal").alias("link_type"), "link.rel_attribute")
+def links_of_parsed(parsed: DataFrame, source: str = "url", save_external: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """The links of html.parse_pages()'s rows, with its columns `keep`; source: the column with the URL that answered, after redirects."""
+    rows = parsed.select(*keep, F.col(source).alias("source_url"), F.posexplode("links").alias("pos", "link"))
+    rows = rows.select(*keep, "source_url", "pos", F.col("link.url").alias("target_url"), "link.anchor_text", F.when(F.col("link.is_external"), "external").otherwise("internal").alias("link_type"), "link.rel_attribute")
     return rows if save_external else rows.where("link_type <> 'external'")
 
 
