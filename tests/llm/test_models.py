@@ -42,6 +42,21 @@ def test_classifier_scores_are_the_model_s(spark):
     assert got[0] > 0.5 > got[1]
 
 
+def test_all_ngrams_of_long_words_count(monkeypatch):
+    words = [b"ab", b"", b"x" * 70, bytes(range(97, 123)) * 40, b"m" + bytes(range(97, 123)) * 3, b"tail"]
+    rows, owners = quality_model.word_rows(words)
+    assert np.bincount(owners).tolist() == [1 + max(0, len(w)) + max(0, len(w) - 1) for w in words]
+    table = np.random.default_rng(1).random((quality_model.BUCKETS, quality_model.WIDTH)).astype(np.float32)
+    whole = quality_model.word_vectors(words, table)
+    for k in range(len(words)):
+        assert whole[k, : quality_model.WIDTH] == pytest.approx(table[rows[owners == k]].mean(0), rel=1e-5)
+    for piece in (5, 64, 1000):
+        monkeypatch.setattr(quality_model, "PIECE", piece)
+        assert np.allclose(quality_model.word_vectors(words, table), whole, rtol=1e-5)
+    middle = quality_model.word_rows([b"a" * 40 + b"middle" + b"b" * 40])[0]
+    assert len(np.setdiff1d(middle, quality_model.word_rows([b"a" * 40 + b"b" * 40])[0])) > 10
+
+
 def test_language_on_held_out_rows(spark):
     got = {r["doc_id"]: r for r in op8_language_id(spark, DIR).collect()}
     right = [got[r["doc_id"]]["lang_pred"] == r["lang"] for r in docs(spark).collect() if r["lang"] and got[r["doc_id"]]["held_out"]]

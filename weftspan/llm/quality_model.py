@@ -13,6 +13,7 @@ nothing to learn from every score is 0.5.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +28,48 @@ BUCKETS, WIDTH = 1 << 16, 16
 GRAMS = (3, 4)
 #: Labelled documents, and bytes of their text, that training takes at most; its rounds and first step.
 SAMPLE, SAMPLE_BYTES, ROUNDS, RATE = 2500, 24_000_000, 6, 0.5
-#: Longer words count by their first and last bytes in n-grams of a word; the word's own row has them all.
-GRAM_BYTES = 64
+#: Bytes of words whose n-grams are hashed at once; longer words are taken in pieces, which changes no sum.
+PIECE = 1 << 20
+
+
+def _grams(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """n and a row for each n-gram of these bytes, by where it begins."""
+    h = np.zeros(len(text), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(max(GRAMS), len(text)) + 1):
+            h = h[: len(text) - n + 1] * np.uint64(1_000_003) + text[n - 1 :] + np.uint64(n)
+            if n in GRAMS:
+                yield n, ((h * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
 def word_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of words and, for each row, the number of its word: a word's own row, and those of its character n-grams (of bytes, with ends marked)."""
-    shapes = [b"<" + (w if len(w) <= GRAM_BYTES else w[: GRAM_BYTES // 2] + w[-GRAM_BYTES // 2 :]) + b">" for w in words]
+    shapes = [b"<" + w + b">" for w in words]
     text = np.frombuffer(b"".join(shapes), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, shapes), np.int64, len(shapes))
     owner = np.repeat(np.arange(len(words)), sizes)
     rows = [np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))]
     owners = [np.arange(len(words))]
-    h = np.zeros(len(text), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, max(GRAMS) + 1):
-            h = h[: len(text) - n + 1] * np.uint64(1_000_003) + text[n - 1 :] + np.uint64(n)
-            if n in GRAMS:
-                whole = owner[: len(h)] == owner[n - 1 :]
-                rows.append(((h[whole] * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS)
-                owners.append(owner[: len(h)][whole])
+    for n, row in _grams(text):
+        whole = owner[: len(row)] == owner[n - 1 :]
+        rows.append(row[whole])
+        owners.append(owner[: len(row)][whole])
     return np.concatenate(rows), np.concatenate(owners)
 
 
 def word_vectors(words: list[bytes], table: np.ndarray) -> np.ndarray:
     """The mean of each word's rows and, as two exact halves, its hash."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    if len(words) > 1 and ends[-1] > PIECE:
+        cut = min(max(1, int(np.searchsorted(ends, PIECE, "right"))), len(words) - 1)
+        parts = []
+        while words:
+            parts.append(word_vectors(words[:cut], table))
+            words, ends = words[cut:], ends[cut:] - ends[cut - 1]
+            cut = max(1, int(np.searchsorted(ends, PIECE, "right")))
+        return np.concatenate(parts)
+    if len(words) == 1 and len(words[0]) > PIECE:
+        return _long_vector(words[0], table)
     rows, owners = word_rows(words)
     order = np.argsort(owners, kind="stable")
     count = np.bincount(owners, minlength=len(words))
@@ -61,6 +79,17 @@ def word_vectors(words: list[bytes], table: np.ndarray) -> np.ndarray:
     return np.concatenate([sums / count[:, None], np.stack([h >> 16, h & 0xFFFF], 1)], 1)
 
 
+def _long_vector(word: bytes, table: np.ndarray) -> np.ndarray:
+    """word_vectors() of one word, PIECE bytes at a time."""
+    shape, h = b"<" + word + b">", zlib.crc32(word)
+    total, count = table[h % BUCKETS].astype(np.float64), 1
+    for at in range(0, len(shape), PIECE):
+        for _, row in _grams(np.frombuffer(shape[at : at + PIECE + max(GRAMS) - 1], np.uint8).astype(np.uint64)):
+            total += np.bincount(row[:PIECE], minlength=BUCKETS) @ table.astype(np.float64)
+            count += len(row[:PIECE])
+    return np.array([[*(total / count), h >> 16, h & 0xFFFF]])
+
+
 def pair_rows(hashes: np.ndarray) -> np.ndarray:
     """The row of each two neighbouring words, by their hashes; row 0 for a word that repeats."""
     with np.errstate(over="ignore"):
