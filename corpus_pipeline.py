@@ -21,11 +21,24 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that shingles link; documents without an id all stay."""
+    """One row, that of the least doc_id, of each group that shingles link, and one of equal rows.
+
+    Rows are told apart by a hash of all that they hold, so that texts under one doc_id, or under
+    none, each count for themselves; a null doc_id comes after all others.
+    """
     prepare(spark)
-    found = ngram_join.classes(docs, SHINGLE_WORDS, ALIKE_PERCENT)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    own = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps can't be compared
+    key = next(n for n in ("key", *(f"key{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in own]))
+    found = ngram_join.classes(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, ALIKE_PERCENT)
+    # most rows link with nothing, and are not among the members
+    linked = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("component_id").alias("component")))
+    members = linked.unionByName(linked.select(F.col("component").alias(key), "component")).distinct()
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    members = written(rows.select(key, "doc_id").join(members, key))
+    first = members.groupBy("component").agg(F.min_by(key, place).alias(key)).select(key)
+    lost = members.select(key).join(first, key, "left_anti").distinct()
+    return rows.join(lost, key, "left_anti").dropDuplicates([key, *own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

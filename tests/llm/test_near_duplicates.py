@@ -174,3 +174,14 @@ def test_the_pipeline_links_by_five_words_and_four_fifths(spark):
     none = [*one[:20], "x", *one[21:50], "y", *one[51:80], "z", *one[81:]]  # 5 words 81 / 111 = 0.73
     docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(far)), (3, " ".join(none))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in deduplicated(spark, docs, "").collect()) == [1, 3]
+
+
+def test_the_pipeline_keeps_each_text_of_a_repeated_id(spark):
+    from corpus_pipeline import deduplicated
+
+    a, b, c, d = (words(40, 900 + k) for k in range(4))
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (7, b, "y"), (3, a, "y"), (None, c, "x"), (None, c, "x"), (None, c, "y"), (9, d, "x"), (None, d, "x"), (None, None, "x"), (8, "", "x"), (10, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in deduplicated(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (8, ""), (9, d), (10, ""), (None, c), (None, None)], key=str)
+    assert deduplicated(spark, docs.limit(0), "").count() == 0
