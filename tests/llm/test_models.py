@@ -309,6 +309,17 @@ def test_expected_counts_are_exact():
     assert np.allclose(moves, want) and emit.sum() == pytest.approx(10)
 
 
+def test_expected_counts_cross_windows():
+    r = np.random.default_rng(4)
+    c = chain()
+    texts = [r.integers(0, H.SYMBOLS, n) for n in (1, 40, 7, 23, 14, 700)]
+    whole = c.expected(texts, 10_000)
+    for window in (1, 7, 20, 512):
+        assert np.allclose(c.expected(texts, window), whole)
+    start, moves, _ = H.unpacked(c.expected(texts, 7))
+    assert start.sum() == pytest.approx(6) and moves.sum() == pytest.approx(sum(len(x) - 1 for x in texts))
+
+
 def test_training_raises_the_likelihood():
     r = np.random.default_rng(5)
     texts = [np.where(np.arange(80) % 2 == r.integers(0, 2), r.integers(1, 20, 80), r.integers(100, 120, 80)) for _ in range(30)]

@@ -5,7 +5,7 @@ classes of all others: P(word | state) = P(symbol | state) * P(word | symbol), w
 second factor is the word's smoothed share of its class's training tokens. Word counts cover
 all training texts. Baum-Welch starts on a bounded sample, which only places the states, and
 goes on with PASSES passes over all training texts: each task adds up its expected counts, and
-a tree of partial sums joins them. A text's likelihood is the scaled forward recursion over
+a tree of partial sums joins them; windows of a long text meet by transfer matrices. A text's likelihood is the scaled forward recursion over
 all its tokens; long texts are cut into stretches whose transfer matrices are multiplied,
 which is the same sum.
 
@@ -104,8 +104,14 @@ class Chain:
         return Chain(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
     def expected(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
-        """Expected counts of starts, moves and emissions of these symbol sequences, in windows."""
-        parts = sorted((x[i : i + window] for x in texts for i in range(0, len(x), window)), key=len, reverse=True)
+        """Expected counts of starts, moves and emissions of these whole symbol sequences.
+
+        They are taken in windows, each between the state vectors of all before and all after it.
+        """
+        parts, before, after = self._windows(texts, window)
+        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
+        parts, before, after = [parts[k] for k in order], before[order], after[order]
+        first = np.isnan(before[:, 0])
         start, moves, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
         lanes = 512
         for at in range(0, len(parts), lanes):
@@ -116,25 +122,32 @@ class Chain:
             for j, p in enumerate(some):
                 sym[: len(p), j] = p
             live = np.searchsorted(-sizes, -np.arange(steps), "left")  # lanes with more than t tokens come first
+            own, later = first[at : at + n], np.flatnonzero(~first[at : at + n])
+            enter = before[at : at + n]
+            entry = np.tile(self.start, (n, 1))
+            entry[later] = enter[later] @ self.moves
             up = np.zeros((steps, n, STATES))
             scale = np.ones((steps, n))
             for t in range(steps):
                 m = live[t]
-                now = self.emit[sym[t, :m]] * (up[t - 1, :m] @ self.moves if t else self.start)
+                now = self.emit[sym[t, :m]] * (up[t - 1, :m] @ self.moves if t else entry)
                 s = now.sum(1)
                 scale[t, :m] = s
                 up[t, :m] = now / s[:, None]
-            down = np.ones((n, STATES))
+            down = after[at : at + n].copy()
+            down /= (up[sizes - 1, np.arange(n)] * down).sum(1, keepdims=True)
             for t in range(steps - 1, -1, -1):
                 m = live[t]
                 up_t = up[t, :m]
                 if t:
                     weight = self.emit[sym[t, :m]] * down[:m] / scale[t, :m, None]
                     moves += up[t - 1, :m].T @ weight
+                elif len(later):
+                    moves += enter[later].T @ (self.emit[sym[0, later]] * down[later] / scale[0, later, None])
                 up[t, :m] = up_t * down[:m]
                 if t:
                     down[:m] = weight @ self.moves.T
-            start += up[0].sum(0)
+            start += up[0, own].sum(0)
             seen = np.arange(n)[None, :] < live[:, None]
             flat = sym[seen]
             posterior = up[seen]
@@ -142,6 +155,38 @@ class Chain:
                 emit[:, k] += np.bincount(flat, posterior[:, k], SYMBOLS)
         return np.concatenate([start, (moves * self.moves).ravel(), emit.ravel()])
 
+    def _windows(self, texts: list[np.ndarray], window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Windows of texts; for each the normed state weights at the token before it (NaN: it begins a text), and what each state at its last token is worth by all that follows."""
+        parts = [x[i : i + window] for x in texts for i in range(0, len(x), window)]
+        many = [max(0, -(-len(x) // window)) for x in texts]
+        before, after = np.full((len(parts), STATES), np.nan), np.ones((len(parts), STATES))
+        ends = np.cumsum(many)
+        heads = [int(e) - m for e, m in zip(ends, many, strict=True) if m > 1]
+        if not heads:
+            return parts, before, after
+        _, v = self._run([parts[k] for k in heads], np.tile(self.start, (len(heads), 1)))
+        rest = [k for e, m in zip(ends, many, strict=True) for k in range(int(e) - m + 1, int(e))]
+        # [i, j]: from state i before the window to state j at its end, up to a factor
+        across = np.empty((len(rest), STATES, STATES))
+        step = 256
+        for at in range(0, len(rest), step):
+            some = rest[at : at + step]
+            g, f = self._run([parts[k] for k in some for _ in range(STATES)], np.tile(self.moves, (len(some), 1)))
+            g = g.reshape(-1, STATES)
+            across[at : at + step] = np.exp(g - g.max(1, keepdims=True))[:, :, None] * f.reshape(-1, STATES, STATES)
+        place = {k: j for j, k in enumerate(rest)}
+        for u, head in zip(v, heads, strict=True):
+            k = head + 1
+            while k in place:
+                before[k] = u
+                u = u @ across[place[k]]
+                u = u / u.sum()
+                k += 1
+            for j in range(k - 1, head, -1):
+                x = across[place[j]] @ after[j]
+                after[j - 1] = x / x.sum()
+        return parts, before, after
+
     def _run(self, parts: list[np.ndarray], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of the mass and the normed state vector after each sequence; `before`: state weights at its first token."""
         order = np.argsort([-len(p) for p in parts], kind="stable")
