@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import find_package
 
-#: Rows in an Arrow batch: texts may be long, so a batch is far smaller than Spark's default.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long, so a batch is far smaller than Spark's default.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers find this package, and keeps their batches small."""
     find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one is made only where none is set (tests)."""
+    """The folder that all executors see. Where none is set, a session in one process makes a local one, and any other is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="weftspan-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,13 +41,22 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "table_path", None)) is not None:
+            spark = t.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """These columns only, so that no other column's name can clash; an absent one is null."""
-    from pyspark.sql import functions as F
-
     have = {c.lower(): c for c in reversed(df.columns)}
     return df.select(*[df[f"`{have[n]}`"].alias(n) if n in have else F.lit(None).alias(n) for n in names])
 
@@ -51,18 +65,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_hash(rows: DataFrame, rows_in_all: int, want: int) -> DataFrame:
+    """About twice `want` rows of a table of `rows_in_all`, all those of it with a low hash of doc_id, in `place`."""
+    parts = 1 << 30
+    bound = min(parts, int(parts * 2.0 * want / max(1, rows_in_all)) + 1)
+    return rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).where(F.col("place") < bound)
+
+
 def first_by_hash(rows: DataFrame, rows_in_all: int, want: int) -> DataFrame:
-    """At most `want` rows, the first by a hash of doc_id.
+    """At most `want` rows of a few numbers, the first by a hash of doc_id; only about twice as many are sorted."""
+    return by_hash(rows, rows_in_all, want).orderBy("place", "doc_id").limit(want).drop("place")
 
-    Only rows with a hash below a bound are sorted, about twice as many as are wanted of a table of
-    `rows_in_all`, so that no task sends `want` rows of its own to the driver.
-    """
-    from pyspark.sql import functions as F
 
-    parts = 1 << 30
-    bound = min(parts, int(parts * 2.0 * want / max(1, rows_in_all)) + 1)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    return rows.where(place < bound).orderBy(place, "doc_id", *[c for c in ("text",) if c in rows.columns]).limit(want)
+def sample(rows: DataFrame, want: int, most_bytes: int, group: str | None = None) -> list:
+    """Of rows with place, doc_id and text at most `want`, and `most_bytes` of their texts, by place; of each value of `group`.
+
+    Rows are written first, so that the texts that come to the driver are chosen by their sizes alone. The sample ends
+    where the sum of bytes exceeds the bound; only a text that exceeds it alone is passed over. Equal texts of an id count as one.
+    """
+    keep = [group] if group else []
+    some = written(rows.where("text IS NOT NULL").withColumn("bytes", F.octet_length("text")).withColumn("mark", F.xxhash64("text")))
+    one = Window.partitionBy(*keep).orderBy("place", "doc_id", "mark")
+    # about twice `want` rows of a few numbers are left of each group by now
+    small = some.where(F.col("bytes") <= most_bytes).select(*keep, "place", "doc_id", "mark", "bytes").distinct()
+    fits = small.withColumn("number", F.row_number().over(one)).where(F.col("number") <= want)
+    fits = fits.withColumn("sum", F.sum("bytes").over(one.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes)
+    chosen = fits.select(*keep, "doc_id", "mark")
+    found = some.join(F.broadcast(chosen), [*keep, "doc_id", "mark"]).dropDuplicates([*keep, "doc_id", "mark"]).orderBy(*keep, "place", "doc_id", "mark").collect()
+    forget(some)
+    return found
+
+
+def one_label(labels: DataFrame, name: str) -> DataFrame:
+    """doc_id and the label (0 or 1) of ids that have one; what has both is not learned from."""
+    marked = columns(labels, "doc_id", name).where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1))
+    return marked.groupBy("doc_id").agg(F.min(name).alias(name), F.max(name).alias("most")).where(F.col(name) == F.col("most")).select("doc_id", name)
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

@@ -7,10 +7,29 @@ plain exchanges on both sides and a node with very many links is split among tas
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every id with the least one it is connected with, of links between x and y."""
+    ids, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = back[: len(x)], back[len(x) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(ids))
+    return ids[keep], ids[label[keep]]
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +42,15 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     else:
         joined = there.join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         joined = joined.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-    return written(joined.where("hi <> lo").distinct())
+    out = written(joined.where("hi <> lo").distinct())
+    forget(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every node of links (a, b: long, in any order, with repeats).
 
-    Links with a null end or to a node itself count for nothing.
+    Links with a null end or to a node itself count for nothing. Tables of earlier rounds are deleted.
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.where("a <> b").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
@@ -39,6 +60,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        edges = _step(_step(edges, True), False)
+        large = _step(edges, True)
+        forget(edges)
+        edges = _step(large, False)
+        forget(large)
     roots = edges.select(F.col("lo").alias("id")).distinct()
-    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    out = edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    out.table_path = edges.table_path  # what forget() deletes once the components have been read
+    return out
