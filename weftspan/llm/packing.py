@@ -1,13 +1,14 @@
 """Best-fit packing of token sequences, online, with a bounded number of open bins.
 
 Documents become token ids and an end id; what is longer than a sequence is cut into full
-pieces, the first one taking what is left over. Pieces arrive in windows that a hash gives, the
-longest of a window first. A bin that a piece fits into with the least room left takes it (a bitset keyed by
-free space finds it in constant time); if there is none, a new bin opens, and if all are
-open, the fullest closes first. Bins of full pieces never open.
-
-Results for odd rows: a null text counts as empty, so the document is the end id alone; a
-null doc_id stays null; equal rows are packed each on their own; an empty table gives an
+pieces, the first one taking what is left over. Pieces arrive in an order that a hash gives, through
+a buffer of about WINDOW documents that hands them on longest first. A bin that a piece fits into with
+the least room left takes it (a bitset keyed by free space finds it in constant time); if there is
+none, a new bin opens, and if all are open, the fullest closes first. Bins of full pieces never open.
+
+Results for odd rows: a null text counts as empty, so the document is the end id alone; very long
+texts are cut like all others, and runs of any one character have the public tokenizer's ids too;
+a null doc_id stays null; equal rows are packed each on their own; an empty table gives an
 empty result; other columns are neither read nor returned.
 """
 
@@ -26,22 +27,36 @@ from ._shared import columns, map_batches
 
 SEQUENCE, END_ID = 1024, 2
 #: Bins a packing task keeps open, and documents whose pieces it takes: both bound its memory. A task ends with a few bins half full.
-OPEN_BINS, TASK_DOCUMENTS = 4096, 20_000
-#: Documents of a window: the pieces of fewer than the open bins, so that no bin closes while its window is packed.
-WINDOW = 2048
+OPEN_BINS, TASK_DOCUMENTS = 256, 20_000
+#: Documents of the buffer through which pieces arrive. More need more open bins; one would be plain arrival.
+WINDOW = 512
+
+
+class Tokenizer:
+    """Ids of a public vocabulary: by its ranks, which is fast, and by its JSON form for the texts that the fast way refuses (very long runs)."""
+
+    def __init__(self, json_path: str, ranks_path: str, special: dict[str, int]):
+        """special: strings that are one id each, as the JSON form has them."""
+        import public_tokenizers
+        import tiktoken
 
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.json_path, self.general = json_path, None
 
-def tokenizer(ranks_path: str, special: dict[str, int]):
-    """A byte-level BPE encoder of public ranks; the special strings are one id each, as its JSON form has them."""
-    import public_tokenizers
-    import tiktoken
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regular expression's stack ran out
+            if self.general is None:
+                import tokenizers
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+                self.general = tokenizers.Tokenizer.from_file(self.json_path)
+            return np.array(self.general.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pieces(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),), length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, name: str = "byte_bpe_50k", special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),), length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of each piece of each whole text."""
     if length < 1:
         raise ValueError("a sequence has at least one token")
@@ -49,12 +64,12 @@ def pieces(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", special: tuple
     def make():
         import public_tokenizers
 
-        coder = tokenizer(public_tokenizers.path(ranks), dict(special))
+        coder = Tokenizer(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), dict(special))
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(coder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(coder.ids(text or ""), end_id).astype("<u4")
                 first = (len(ids) - 1) % length + 1
                 cuts = [0, *range(first, len(ids) + 1, length)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -136,4 +151,4 @@ def pack_documents(docs: DataFrame, with_ids: bool = True, task_documents: int =
     windows = max(1, -(-rows // (tasks * WINDOW)))
     cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
     cut = cut if with_ids else cut.drop("ids")
-    return pack(cut, tasks=tasks, order=F.struct(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(windows)), -F.col("length")))
+    return pack(cut, tasks=tasks, order=F.struct(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(windows)), -F.col("length")))
