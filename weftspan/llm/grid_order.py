@@ -2,9 +2,10 @@
 
 Vectors become unit vectors, so a cosine of at least `cosine` is a distance of at most
 epsilon = sqrt(2 - 2 * cosine). All vectors are projected on their leading principal
-directions and sorted by label and by the cells, epsilon wide, of the projections. The sorted
-sequence is cut into blocks of bounded size. Two blocks whose boxes are farther apart than
-epsilon hold no link, as a projection never lengthens a distance; others are joined by
+directions and sorted by label and by the cells, epsilon wide, of the first projections. The sorted
+sequence is cut into blocks of bounded size. A block's box holds its vectors' projections and the
+length of what the projections leave of them. Two blocks whose boxes are farther apart than epsilon
+hold no link, as neither projections nor that length ever lengthen a distance; others are joined by
 halving both sequences again and again, skipping halves that are provably distant, until a
 small product of matrices decides. Equal vectors are one vector with a count throughout.
 
@@ -24,20 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import columns, map_batches, written
-from .graph import components
+from ._shared import columns, forget, map_batches, written
+from .graph import components, forest
 
 COSINE = 0.98
-#: Directions of the grid, directions that their search carries, vectors in a block, and in a leaf of the recursion.
+#: Directions of the grid, and of the boxes; vectors in a block, and in a leaf of the recursion.
 DIRECTIONS, CARRIED, BLOCK, LEAF = 3, 8, 1024, 128
 
 
-def unit(values: list | None) -> bytes | None:
+def unit(x: np.ndarray) -> bytes | None:
     """The unit vector as doubles; None for what links with nothing."""
-    if not values or any(v is None for v in values):
-        return None
-    x = np.array(values, np.float64)
-    if not np.isfinite(x).all() or not (top := np.abs(x).max()):
+    if not len(x) or not np.isfinite(x).all() or not (top := np.abs(x).max()):
         return None
     x = x / top
     return (x / np.sqrt(x @ x)).tobytes()
@@ -46,12 +44,16 @@ def unit(values: list | None) -> bytes | None:
 def _units(vectors: DataFrame) -> DataFrame:
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [u if y is not None and i is not None and (u := unit(v)) else None for i, v, y in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+            column = batch.column("embedding")
+            values = column.flatten().to_numpy(zero_copy_only=False)  # NaN for null
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            known = batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+            out = [unit(values[a:b]) if k else None for a, b, k in zip([0, *ends[:-1].tolist()], ends.tolist(), known.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "x"])
 
         return turn
 
-    plain = columns(vectors, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("string")).withColumn("vec_id", F.col("vec_id").cast("long"))
+    plain = columns(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     return map_batches(plain, make, "vec_id long, label string, x binary")
 
 
@@ -78,7 +80,7 @@ def _sums(units: DataFrame, width: int, basis: np.ndarray) -> np.ndarray:
 
 
 def directions(units: DataFrame, width: int) -> np.ndarray:
-    """Orthonormal leading principal directions (width x at most DIRECTIONS) of all unit vectors, by two rounds of a range finder."""
+    """Orthonormal leading principal directions (width x at most CARRIED) of all unit vectors, by two rounds of a range finder."""
     k = min(CARRIED, width)
     basis = np.linalg.qr(np.random.default_rng(1).standard_normal((width, k)))[0]
     n = max(1, units.count())
@@ -89,40 +91,43 @@ def directions(units: DataFrame, width: int) -> np.ndarray:
         last = basis
         basis = np.linalg.qr(y)[0]
     w, v = np.linalg.eigh(last.T @ y)
-    spun = last @ v[:, ::-1]
-    return np.linalg.qr(spun[:, : min(DIRECTIONS, k)])[0]
+    return np.linalg.qr(last @ v[:, ::-1])[0]
 
 
 def _blocks(rows: DataFrame, bases: dict[int, np.ndarray], eps: float) -> DataFrame:
     """Blocks of the sequence in grid order: label, width, box (lo, hi), ids, counts and vectors."""
-    k = DIRECTIONS
     shared = rows.sparkSession.sparkContext.broadcast(bases)
 
     def make():
         known = shared.value
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = np.zeros((batch.num_rows, k))
-            for n, x in enumerate(batch.column("x").to_pylist()):
-                basis = known[len(x) // 8]
-                p[n, : basis.shape[1]] = np.frombuffer(x) @ basis
-            cells = np.floor(p / eps).astype(np.int64)
-            return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, j]) for j in range(k)], *[pa.array(p[:, j]) for j in range(k)]], names=[*batch.schema.names, *[f"c{j}" for j in range(k)], *[f"p{j}" for j in range(k)]])
+            p = np.zeros((batch.num_rows, CARRIED + 1))
+            widths, x = batch.column("width").to_numpy(), batch.column("x").to_pylist()
+            for w in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == w)
+                basis = known[w]
+                p[own, : basis.shape[1]] = np.frombuffer(b"".join(x[n] for n in own)).reshape(-1, w) @ basis
+            p[:, CARRIED] = np.sqrt(np.maximum(0, 1 - (p**2).sum(1)))
+            cells = np.floor(p[:, :DIRECTIONS] / eps).astype(np.int64)
+            at = pa.array([row.tobytes() for row in p], pa.binary())
+            return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, j]) for j in range(DIRECTIONS)], *[pa.array(p[:, j]) for j in range(DIRECTIONS)], at], names=[*batch.schema.names, *cell_names, *places, "at"])
 
         return turn
 
-    cells, places = [f"c{j}" for j in range(k)], [f"p{j}" for j in range(k)]
-    placed = map_batches(rows, make, "label string, rep long, copies long, x binary, width int, " + ", ".join([f"{c} long" for c in cells] + [f"{c} double" for c in places]))
+    cell_names, places = [f"c{j}" for j in range(DIRECTIONS)], [f"p{j}" for j in range(DIRECTIONS)]
+    placed = map_batches(rows, make, "label string, rep long, copies long, x binary, width int, " + ", ".join([f"{c} long" for c in cell_names] + [f"{c} double" for c in places]) + ", at binary")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    order = ["label", "width", *cells, *places, "rep"]
-    sequence = written(placed).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    order = ["label", "width", *cell_names, *places, "rep"]
+    placed = written(placed)
+    sequence = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, key = 0, None
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            p = np.array([h[3] for h in held])
+            p = np.frombuffer(b"".join(h[3] for h in held)).reshape(len(held), -1)
             return pa.RecordBatch.from_pydict({"block": [(part << 32) + number], "label": [key[0]], "width": [key[1]], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()], "ids": [np.array([h[0] for h in held], np.int64).tobytes()], "copies": [np.array([h[1] for h in held], np.int64).tobytes()], "at": [p.tobytes()], "x": [b"".join(h[2] for h in held)]}, schema=schema)
 
         schema = pa.schema([("block", pa.int64()), ("label", pa.string()), ("width", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("at", pa.binary()), ("x", pa.binary())])
@@ -135,11 +140,13 @@ def _blocks(rows: DataFrame, bases: dict[int, np.ndarray], eps: float) -> DataFr
                     yield block()
                     held, number = [], number + 1
                 key, part = now, cols["part"][n]
-                held.append((cols["rep"][n], cols["copies"][n], cols["x"][n], [cols[c][n] for c in places]))
+                held.append((cols["rep"][n], cols["copies"][n], cols["x"][n], cols["at"][n]))
         if held:
             yield block()
 
-    return written(sequence.mapInArrow(cut, "block long, label string, width int, lo array<double>, hi array<double>, ids binary, copies binary, at binary, x binary"))
+    out = written(sequence.mapInArrow(cut, "block long, label string, width int, lo array<double>, hi array<double>, ids binary, copies binary, at binary, x binary"))
+    forget(placed)
+    return out
 
 
 class Side:
@@ -191,24 +198,6 @@ def join_sides(a: Side, b: Side, same: bool, cosine: float, eps: float) -> tuple
     return from_a, from_b, x, y, leaves
 
 
-def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every id with the least one it is connected with."""
-    ids, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-    a, b = back[: len(x)], back[len(x) :]
-    label = np.arange(len(ids))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(ids))
-    return ids[keep], ids[label[keep]]
-
-
 def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
     """a and b: numbers of blocks of one label, a <= b, whose boxes are at most epsilon apart. Boxes meet by cells of the first direction."""
     wide = 2 * eps
@@ -217,7 +206,7 @@ def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
     left = meta.select(F.col("block").alias("a"), "label", "width", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), cells(F.col("lo")[0] - eps, F.col("hi")[0] + eps).alias("cell"))
     right = meta.select(F.col("block").alias("b"), "label", "width", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), cells(F.col("lo")[0], F.col("hi")[0]).alias("cell"))
     gap = lambda j: F.greatest(F.lit(0.0), F.col("lo_a")[j] - F.col("hi_b")[j], F.col("lo_b")[j] - F.col("hi_a")[j])
-    near = sum((gap(j) * gap(j) for j in range(1, DIRECTIONS)), gap(0) * gap(0)) <= eps * eps
+    near = sum((gap(j) * gap(j) for j in range(1, CARRIED + 1)), gap(0) * gap(0)) <= eps * eps
     return left.join(right, ["label", "width", "cell"]).where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
 
 
@@ -253,11 +242,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     first = written(sets.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("width", (F.length("x") / 8).cast("int")))
     bases = {w: directions(first.where(F.col("width") == w).select("x"), w) for w in [r["width"] for r in first.select("width").distinct().orderBy("width").collect()]}
     blocks = _blocks(first.select("label", "rep", "copies", "x", "width"), bases, eps)
-    found = _linked(blocks, written(_pairs(blocks, eps)), cosine, eps)
+    pairs = written(_pairs(blocks, eps))
+    found = _linked(blocks, pairs, cosine, eps)
+    forget(blocks, pairs)
     links = written(found.groupBy("id").agg(F.sum("links").alias("links")))
     member = written(sets.join(first, ["label", "x"]).select("vec_id", "rep", "copies", "label"))
     edges = found.where("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    linked = written(components(edges.unionByName(member.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))))
+    ends = components(edges.unionByName(member.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))))
+    linked = written(ends)
+    forget(ends, found, first)
     some = member.join(links, member["rep"] == links["id"], "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rest = rows.where("x IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = some.unionByName(rest)
