@@ -5,9 +5,9 @@ and the rows of its character n-grams, a pair's vector is one row (words that re
 it); all rows are found by hash in one table. The mean of the units' vectors meets a softmax.
 
 Results for odd rows: null and empty texts have a zero vector, so the bias alone scores them;
-a null doc_id stays null and such rows are never learned from; equal rows get equal results;
-other columns are neither read nor returned; an empty table gives an empty result, and with
-nothing to learn from every score is 0.5.
+very long texts and words are taken whole; a null doc_id stays null and such rows are never learned
+from, nor is an id with both labels; equal rows get equal results; other columns are neither read
+nor returned; an empty table gives an empty result, and with nothing to learn from every score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, columns, first_by_hash, map_batches
+from ._shared import by_hash, bytes_of, columns, map_batches, one_label, sample
 from ._words import MIX, Rows, gathered
 
 BUCKETS, WIDTH = 1 << 16, 16
@@ -149,19 +149,12 @@ class Classifier:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPLE) -> Classifier:
-    """A classifier of at most `sample` labelled documents where `learned` holds, the first by a hash of the id."""
-    marked = columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"]).where(learned)
-    chosen = F.broadcast(first_by_hash(marked, marked.count(), sample))  # at most `sample` rows of two numbers
-    rows = columns(docs, "doc_id", "text").join(chosen, "doc_id").where("length(text) < 50000").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    texts, kinds, size = [], [], 0
-    for r in rows:
-        size += len(b := r["text"].encode())
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(b)
-        kinds.append(int(r["quality"]))
-    return Classifier().train(texts, kinds)
+def fit(docs: DataFrame, labels: DataFrame, learned: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Classifier:
+    """A classifier of at most `most` labelled documents, and `most_bytes` of their texts, where `learned` holds: the first by a hash of the id."""
+    marked = one_label(labels, "quality").where(learned)
+    chosen = F.broadcast(by_hash(marked, marked.count(), most).orderBy("place", "doc_id").limit(most))  # at most `most` rows of a few numbers
+    rows = sample(columns(docs, "doc_id", "text").join(chosen, "doc_id"), most, most_bytes)
+    return Classifier().train([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, name: str = "score") -> DataFrame:
