@@ -1,16 +1,19 @@
 """Personal data: exact detectors, and a semi-Markov conditional random field that adds spans.
 
-The field cuts runs of words that hold a digit or an @ into segments of at most MOST words.
-Features look at a whole segment (its shape, length, checksum, quotes, the word before it);
-a dynamic program chooses boundaries and types together. Words without a digit or an @ never
-belong to an entity, so a run of other words splits a text and each run is decoded on its
-own, exactly. Weights are trained here, by gradient ascent on the likelihood of whole
-segmentations: of generated cases with decoys, and of a bounded sample of documents whose
-segments the exact detectors name. Spans of the field that touch an exact one are left out.
-
-Results for odd rows: null and empty texts have no spans; a null doc_id stays null; equal
-rows get equal results; other columns are neither read nor returned; an empty table gives an
-empty result. All scans are linear in the text, also where it has no spaces.
+The field cuts runs of words that hold a digit or an @, or that stand as the value of a word like
+token or password, into segments of at most MOST words. Features look at a whole segment (its shape,
+length, checksums, quotes, the word before it); a dynamic program chooses boundaries and types
+together. Other words never belong to an entity (but for groups of four capitals within an account
+number), so they split a text into runs, and each is decoded on its own, exactly. Weights are trained
+here, by gradient ascent on the likelihood of whole segmentations: of generated cases with decoys, and
+of runs of a bounded sample of documents that the exact detectors explain. Beyond the exact kinds the
+field knows secrets, social security numbers, IBANs and other long account numbers, and more forms of
+addresses and phone numbers. Spans of the field that touch an exact one are left out.
+
+Results for odd rows: null and empty texts have no spans; very long texts are read whole; a null
+doc_id stays null; equal rows get equal results; find() neither reads nor returns other columns,
+redact() keeps them, finds the text by its name in any case, and raises an error where there is
+none; an empty table gives an empty result. All scans are linear in the text, also where it has no spaces.
 """
 
 from __future__ import annotations
@@ -25,21 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import columns, first_by_hash, map_batches
+from ._shared import by_hash, columns, map_batches, sample
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "account")
 LABELS = ("", *KINDS)
-#: Words in a segment, training rounds, and documents that training takes at most.
-MOST, ROUNDS, SAMPLE = 5, 25, 400
+#: Words in a segment; training rounds; documents, and bytes of them, that training takes at most, runs of them, and words of a part of a run.
+MOST, ROUNDS, SAMPLE, SAMPLE_BYTES, RUNS, RUN_WORDS = 9, 25, 400, 8_000_000, 1200, 12
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]\S*")
-KEYWORD = re.compile(r"(?i)(token|secret|passw(or)?d|api_?key|key|auth)\b")
+NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|key|auth)"
+TRIGGER = re.compile(rf"[0-9@]\S*|(?i:{NAMES})[\"']?\s?[=:]\s?[\"']?([^\s\"']\S*)")
+KEYWORD = re.compile(rf"(?i){NAMES}[\"']?\s?[=:]?\s?[\"']?\Z|(?i:token|secret|passw(?:or)?d|api_?key|auth)\b")
 HEX = re.compile(r"[0-9a-fA-F]{20,}\Z")
-MIXED = re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}\Z")
+MIXED = re.compile(r"(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}\Z")
+#: How public services' keys begin.
+KEYS = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_.-]{20,}|glpat-[A-Za-z0-9_-]{16,})\Z")
+BARE_PHONE = re.compile(r"(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\Z")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\Z")
+IPV6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\Z|(?=.*::)(?!.*::.*::)[0-9A-Fa-f:]{3,39}\Z")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?\Z")
+CAPITALS = re.compile(r"\s*([A-Z]{4})\s*\Z")
 Span = tuple[str, int, int]
 
 
@@ -51,6 +62,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(s: str) -> bool:
+    """Whether the shape and the remainder by 97 are an IBAN's."""
+    if not IBAN.match(s):
+        return False
+    plain = s.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -77,16 +96,19 @@ def exact(text: str) -> list[Span]:
 
 
 def runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Start and end of neighbouring words that hold a digit or an @."""
+    """Start and end of neighbouring words that may belong to an entity."""
     run: list[tuple[int, int]] = []
     at = 0
     while m := TRIGGER.search(text, at):
-        start = m.start()
-        while start > at and not text[start - 1].isspace():
+        start = m.start(1) if m[1] else m.start()
+        while not m[1] and start > at and not text[start - 1].isspace():
             start -= 1
-        if run and text[run[-1][1] : start].strip():
-            yield run
-            run = []
+        if run and (gap := text[run[-1][1] : start]).strip():
+            if start - run[-1][1] < 8 and (word := CAPITALS.match(gap)):
+                run.append((run[-1][1] + word.start(1), run[-1][1] + word.end(1)))
+            else:
+                yield run
+                run = []
         run.append((start, m.end()))
         at = m.end()
     if run:
@@ -101,7 +123,7 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-SIZE = 24
+SIZE = 32
 
 
 def features(text: str, run: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -142,9 +164,21 @@ def features(text: str, run: list[tuple[int, int]], i: int, j: int) -> list[int]
         out.append(22)
     if 14 in out and (12 in out or 13 in out):
         out.append(23)
+    for k, shape in ((24, KEYS), (25, BARE_PHONE), (26, SSN), (27, IPV6)):
+        if shape.match(s):
+            out.append(k)
+    if iban(s):
+        out.append(28)
+    # the value of a name, in quotes or not, with or without a digit
+    if 14 in out and 15 in out and j - i == 1:
+        out.append(29 if d else 30 if before[-1:] in ('"', "'") else 31)
     return out
 
 
+#: Features of shapes that only the field names: no run of a document with one of them teaches anything.
+DOUBTFUL = frozenset((8, 12, 13, 23, 24, 25, 26, 27, 28, 29, 30, 31))
+
+
 class SemiField:
     """weights: labels by features; label 0 (no entity) takes segments of one word."""
 
@@ -222,45 +256,69 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     r = random.Random(seed)
     number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(k))
     out = []
     for k in range(n):
-        kind = (*KINDS, "", "", "")[k % 8]
+        quote = ""
+        kind = (*KINDS, "", "", "", "", "")[k % 13]
         lead = word(2, 7)
         if kind == "email":
             s = f"{word(2, 8)}{r.choice(['', '.', '_'])}{number(r.randint(0, 2))}@{word(3, 8)}{r.choice(['', number(1)])}.{r.choice(['com', 'org', 'example.net'])}"
         elif kind == "ip":
-            s = ".".join(str(r.randint(0, 255)) for _ in range(4))
+            s = ".".join(str(r.randint(0, 255)) for _ in range(4)) if r.random() < 0.6 else r.choice([":".join(f"{r.randint(0, 65535):x}" for _ in range(8)), f"fe80::{r.randint(1, 65535):x}:{r.randint(1, 65535):x}", f"20{number(2)}:{r.randint(1, 65535):x}::{number(1)}"])
         elif kind == "card":
             body = number(r.choice([12, 14, 15]))
             d = next(body + c for c in "0123456789" if luhn(body + c))
             s = d if r.random() < 0.6 else r.choice([" ", "-"]).join(d[i : i + 4] for i in range(0, len(d), 4))
         elif kind == "phone":
-            s = r.choice([f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", f"+{number(11)}", f"+{number(2)} {number(3)} {number(4)} {number(2)}"])
+            s = r.choice([f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", f"+{number(11)}", f"+{number(2)} {number(3)} {number(4)} {number(2)}", *[f"{number(3)}{c}{number(3)}{c}{number(4)}" for c in "-. "], f"({number(3)}) {number(3)}-{number(4)}"])
         elif kind == "secret":
-            s = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([24, 32, 40, 64]))) if r.random() < 0.6 else "".join(r.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(r.randint(20, 40))) + "7k"
-            lead = r.choice(["token =", "secret:", "api_key =", "password:", "key ="])
+            s = r.choice([hexes(r.choice([24, 32, 40, 64])), hexes(40), f"{mixed(r.randint(20, 40))}7k", f"{word(5, 9)}{number(2)}", f"{word(3, 5)}-{word(3, 5)}-{word(3, 5)}x"])
+            lead, quote = r.choice(["token =", "secret:", "api_key =", "password:", "key =", "token=", "password="]), '"' if r.random() < 0.7 or not any(c.isdigit() for c in s) else ""
+            if r.random() < 0.35:
+                lead, quote = lead if r.random() < 0.5 else word(2, 6), ""
+                s = r.choice([f"AKIA{mixed(16).upper()}", f"ghp_{mixed(36)}", f"sk-{mixed(30)}", f"xoxb-{number(12)}-{mixed(20)}"])
+        elif kind == "ssn":
+            s = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+        elif kind == "iban":
+            body = r.choice(["DE", "GB", "FR", "ES"]) + "00" + (number(18) if r.random() < 0.5 else "ABCD" + number(14))
+            check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+            body = f"{body[:2]}{check:02d}{body[4:]}"
+            s = body if r.random() < 0.5 else " ".join(body[i : i + 4] for i in range(0, len(body), 4))
+        elif kind == "account":
+            d = next(x for _ in range(99) if not luhn(x := number(r.choice([14, 15, 16, 16, 18]))))
+            s = d if r.random() < 0.7 else " ".join(d[i : i + 4] for i in range(0, len(d), 4))
         else:
-            d = number(16)
-            s = r.choice([number(r.randint(1, 9)), f"{number(1)}.{number(1)}.{number(1)}", "999.1.300.4", d if not luhn(d) else number(5), f"{word(2, 5)}{number(2)}", f"@{word(3, 6)}", f"{number(4)}-{number(2)}-{number(2)}", f"+{number(3)}", f"{number(2)} {number(4)}", f"{number(25)}", f"v{number(2)}.{number(2)}"])
-        quote = '"' if kind == "secret" and r.random() < 0.8 else ""
-        text = f"{word(2, 6)} {lead} {quote}"
+            s = r.choice([number(r.randint(1, 9)), f"{number(1)}.{number(1)}.{number(1)}", "999.1.300.4", f"{word(2, 5)}{number(2)}", f"@{word(3, 6)}", f"{number(4)}-{number(2)}-{number(2)}", f"+{number(3)}", f"{number(2)} {number(4)}", f"{number(25)}", f"v{number(2)}.{number(2)}", f"{number(2)}:{number(2)}", f"{number(2)}:{number(2)}:{number(2)}", f"{number(4)}-{number(4)}", hexes(r.choice([20, 32, 40])), f"({number(4)})", f"{number(3)} {number(3)}"])
+            if r.random() < 0.15:
+                lead, s = r.choice(["token:", "password:", "secret:", "key:"]), word(2, 9)
+        text = f"{word(2, 6)} {lead}{'' if lead[-1:] == '=' and lead[-2:] != ' =' else ' '}{quote}"
         at = len(text)
         tail = r.choice(["", ",", ".", "***", "%%%"])
         out.append((f"{text}{s}{quote}{tail} {word(2, 6)}", [(kind, at, at + len(s))] if kind else []))
     return out
 
 
-def train(texts: list[str], cases: int = 640, rounds: int = ROUNDS, rate: float = 0.4, pull: float = 1e-3) -> SemiField:
-    """Weights from generated cases and from the runs of these texts, by Adagrad steps over all of them."""
+def train(texts: list[str], cases: int = 1300, rounds: int = ROUNDS, rate: float = 0.4, pull: float = 1e-3) -> SemiField:
+    """Weights from generated cases and from the first RUNS runs of these texts (long ones in parts), by Adagrad steps over all of them."""
     known = generated(cases)
+    named = 0
     for text in texts:
-        spans = exact(text)
-        named = []
+        spans, k = exact(text), 0  # spans are looked at in order
+        spans.sort(key=lambda x: x[1])
         for run in runs(text):
-            s, e = run[0][0], run[-1][1]
-            if e - s < 400 and len(run) <= 12 and not KEYWORD.search(text[max(0, s - 24) : s]):
-                named.append((text[max(0, s - 24) : e + 8], [(k, a - max(0, s - 24), b - max(0, s - 24)) for k, a, b in spans if s <= a and b <= e]))
-        known += named[:5]
+            for at in range(0, len(run), RUN_WORDS):
+                part = run[at : at + RUN_WORDS]
+                s, e = part[0][0], part[-1][1]
+                if named >= RUNS or DOUBTFUL & {f for _, _, own in SemiField.cells(text, part) for f in own}:
+                    continue
+                while k < len(spans) and spans[k][2] <= s:
+                    k += 1
+                here = [x for x in spans[k : k + RUN_WORDS] if s <= x[1] and x[2] <= e]
+                base = max(0, s - 24)
+                known.append((text[base : e + 8], [(kind, a - base, b - base) for kind, a, b in here]))
+                named += 1
     work = []
     for text, spans in known:
         for run in runs(text):
@@ -277,10 +335,10 @@ def train(texts: list[str], cases: int = 640, rounds: int = ROUNDS, rate: float
     return field
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiField:
-    """A field trained on generated cases and on at most `sample` documents, chosen by a hash of the id."""
-    rows = columns(docs, "doc_id", "text").where("text RLIKE '[0-9@]' AND length(text) < 20000")
-    rows = first_by_hash(rows, docs.count() // 4, sample).collect()  # texts with a digit are a part of all
+def fit(docs: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> SemiField:
+    """A field trained on generated cases and on at most `most` documents, and `most_bytes` of their texts, chosen by a hash of the id."""
+    rows = columns(docs, "doc_id", "text").where("text RLIKE '[0-9@]'")
+    rows = sample(by_hash(rows, docs.count() // 4, most), most, most_bytes)  # texts with a digit are a part of all
     return train([r["text"] for r in rows])
 
 
@@ -323,17 +381,19 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts and joined forms of find()'s rows."""
     form = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:4]], F.sha2(form("base"), 256).alias("base_sha256"), form("spans").alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:4]], F.sha2(form("base"), 256).alias("base_sha256"), form("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, field: SemiField) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans become one, named by the first."""
     weights = field.weights
+    at = next((k for k, f in enumerate(docs.schema.fields) if f.name.lower() == "text" and f.dataType.typeName() in ("string", "varchar", "char")), None)
+    if at is None:
+        raise ValueError("there is no column text of strings to mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SemiField(weights)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [x if x is None else masked(x, spans_of(x, model)[1]) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
