@@ -5,10 +5,11 @@ language knows is cut into character n-grams, from the longest length down: the
 at which some language knows one of them scores the word, by the mean over its n-grams. What
 one language lacks costs it a penalty. A text's score is the mean over all of its words.
 
-Results for odd rows: null texts and texts without a letter are "und" with score 0; a null
-doc_id stays null and such rows are never learned from; equal rows get equal results; other
-columns are neither read nor returned; an empty table gives an empty result, and with nothing
-to learn from every text is "und".
+Results for odd rows: null texts and texts without a letter are "und" with score 0; very long
+texts are scored whole; a null doc_id stays null and such rows are never learned from, nor are
+rows with a null lang; of languages that score the same the first by code point wins; equal rows
+get equal results; other columns are neither read nor returned; an empty table gives an empty
+result, and with nothing to learn from every text is "und".
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import columns, first_by_hash, map_batches
+from ._shared import columns, forget, map_batches, sample, written
 from ._words import Rows, gathered
 
 #: Letters, and numerals that aren't digits; digits, marks of punctuation and underscores part words.
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Bounds of the model: documents per language it learns from, and words and n-grams kept per language.
-SAMPLE, KEPT = 500, 20_000
-#: Languages with the most documents are learned, at most so many.
-LANGUAGES = 200
+#: Bounds of the model: documents of each language it learns from, and bytes of text in all, an equal share for each language. All their words and n-grams are kept.
+SAMPLE, SAMPLE_BYTES = 500, 64_000_000
+#: Languages up to which their counts are broadcast to find the sample; beyond, a join shuffles.
+FEW_LANGUAGES = 10_000
 #: Added to the dearest known frequency for what a language lacks.
 PENALTY = 1.0
 
@@ -45,59 +46,102 @@ def ngrams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Table:
+    """Costs by language of words or of n-grams of one length: only what a language knows is held."""
+
+    def __init__(self, counts: list[Counter]):
+        sums = [max(1, c.total()) for c in counts]
+        #: What a language pays for what it lacks.
+        self.lack = max((float(np.log10(s / min(c.values()))) for c, s in zip(counts, sums, strict=True) if c), default=0.0) + PENALTY
+        self.place: dict[str, int] = {}
+        row, lang, less = [], [], []
+        for k, (c, s) in enumerate(zip(counts, sums, strict=True)):
+            row.append(np.fromiter((self.place.setdefault(x, len(self.place)) for x in c), np.int64, len(c)))
+            lang.append(np.full(len(c), k, np.int32))
+            less.append(np.log10(s / np.fromiter(c.values(), np.float64, len(c))) - self.lack)
+        row, lang, less = np.concatenate(row), np.concatenate(lang), np.concatenate(less)
+        order = np.argsort(row, kind="stable")
+        self.lang, self.less = lang[order], less[order].astype(np.float32)
+        self.start = np.searchsorted(row[order], np.arange(len(self.place) + 1))
+
+    def means(self, rows: np.ndarray, sizes: np.ndarray, langs: int) -> np.ndarray:
+        """Mean costs by language over so many of the rows each time."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        n = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.bincount(np.repeat(owner, n) * langs + self.lang[at], self.less[at], len(sizes) * langs)
+        return self.lack + sums.reshape(len(sizes), langs) / sizes[:, None]
+
+
 class Model:
-    """tables[0] has words, tables[n] n-grams: each maps to costs by language."""
+    """tables[0] has words, tables[n] n-grams."""
 
-    def __init__(self, texts: dict[str, list[str]], kept: int = KEPT):
+    def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        counts: list[list[Counter]] = []
+        counts: list[list[Counter]] = [[] for _ in range(LONGEST + 1)]
         for lang in self.langs:
             words: Counter = Counter()
             for t in texts[lang]:
                 words.update(WORD.findall(t.lower()))
-            grams = [Counter() for _ in range(LONGEST)]
-            for w, c in words.items():
-                for n in range(1, LONGEST + 1):
+            counts[0].append(words)
+            for n in range(1, LONGEST + 1):
+                grams: Counter = Counter()
+                for w, c in words.items():
                     for g in ngrams(w, n):
-                        grams[n - 1][g] += c
-            counts.append([words, *grams])
-        self.tables: list[dict[str, np.ndarray]] = []
-        for n in range(LONGEST + 1):
-            own = [dict(sorted(c[n].items(), key=lambda x: (-x[1], x[0]))[:kept]) for c in counts]
-            sums = [max(1, sum(c.values())) for c in own]
-            lack = max((np.log10(s / min(c.values())) for c, s in zip(own, sums, strict=True) if c), default=0.0) + PENALTY
-            table: dict[str, np.ndarray] = {}
-            for k, (c, s) in enumerate(zip(own, sums, strict=True)):
-                for x, v in c.items():
-                    table.setdefault(x, np.full(len(self.langs), lack, np.float32))[k] = np.log10(s / v)
-            self.tables.append(table)
-        self.lack = np.full(len(self.langs), lack, np.float32)
-
-    def costs(self, word: str) -> np.ndarray:
-        """What the word costs each language."""
-        if (x := self.tables[0].get(word)) is not None:
-            return x
+                        grams[g] += c
+                counts[n].append(grams)
+        self.tables = [Table(c) for c in counts] if texts else []
+
+    def costs(self, words: list[str]) -> np.ndarray:
+        """What each word costs each language."""
+        out = np.full((len(words), len(self.langs)), self.tables[-1].lack)
+        known = self.tables[0].place.get
+        rows = [known(w, -1) for w in words]
+        hit = [k for k, r in enumerate(rows) if r >= 0]
+        if hit:
+            out[hit] = self.tables[0].means(np.array([rows[k] for k in hit]), np.ones(len(hit), np.int64), len(self.langs))
+        left = [k for k, r in enumerate(rows) if r < 0]
         for n in range(LONGEST, 0, -1):
-            if found := [x for g in ngrams(word, n) if (x := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return self.lack
-
-
-def fit(docs: DataFrame, learned: Column, sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` documents a language, of the rows where `learned` holds."""
-    rows = columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned & (F.length("text") < 50_000))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    texts = {r["lang"]: [x["text"] for x in first_by_hash(rows.where(F.col("lang") == r["lang"]), r["count"], sample).collect()] for r in langs}
+            known, found, sizes, then, still = self.tables[n].place.get, [], [], [], []
+            for k in left:
+                p = f" {words[k]} "
+                # the least word has one gram of three characters
+                mine = [r for i in range(len(p) - n + 1) if (r := known(p[i : i + n])) is not None]
+                if mine:
+                    found += mine
+                    sizes.append(len(mine))
+                    then.append(k)
+                else:
+                    still.append(k)
+            if then:
+                out[then] = self.tables[n].means(np.array(found), np.array(sizes), len(self.langs))
+            left = still
+        return out
+
+
+def fit(docs: DataFrame, learned: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of at most `most` documents a language, of the rows where `learned` holds. The texts are read once, for all languages."""
+    rows = columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & learned)
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    langs = counts.count()
+    small = F.broadcast(counts) if langs <= FEW_LANGUAGES else counts
+    parts = 1 << 30
+    near = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).join(small, "lang").where(F.col("place") < parts * (2.0 * most / F.col("rows")) + 1)
+    found = sample(near.drop("rows"), most, most_bytes // max(1, langs), "lang")
+    forget(counts)
+    texts: dict[str, list[str]] = {}
+    for r in found:
+        texts.setdefault(r["lang"], []).append(r["text"])
     return Model(texts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the winner's share of the likelihoods, by mean costs) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES
 
     def make():
         m = shared.value
-        rows = Rows(len(m.langs), lambda words: np.array([m.costs(w) for w in words])) if m.langs else None
+        rows = Rows(len(m.langs), m.costs, most=min(150_000, max(5000, 8_000_000 // len(m.langs)))) if m.langs else None
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []
