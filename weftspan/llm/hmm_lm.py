@@ -5,16 +5,16 @@ classes of all others: P(word | state) = P(symbol | state) * P(word | symbol), w
 second factor is the word's smoothed share of its class's training tokens. Word counts cover
 all training texts. Baum-Welch starts on a bounded sample, which only places the states, and
 goes on with PASSES passes over all training texts: each task adds up its expected counts, and
-a tree of partial sums joins them; windows of a long text meet by transfer matrices. A text's likelihood is the scaled forward recursion over
-all its tokens; long texts are cut into stretches whose transfer matrices are multiplied,
-which is the same sum.
+a tree of partial sums joins them; windows of a long text meet by transfer matrices. A text's
+likelihood is the scaled forward recursion over all its tokens; long texts are cut into stretches
+whose transfer matrices are multiplied, which is the same sum.
 
-Scoring reads each text once. Counts of the LISTED most frequent words go to every task; other
-words of a chunk of texts (bounded bytes) meet the table of counts in a join, so nothing that
-grows with the vocabulary is ever in one place.
+Scoring reads each text once. Counts of the most frequent words, LISTED of them and LISTED_BYTES of
+their bytes at most, go to every task; other words of a chunk of texts (bounded bytes) meet the table
+of counts in a join, so nothing that grows with the vocabulary is ever in one place.
 
-Results for odd rows: a null text counts as empty, so its only token is the end; rows with a
-null doc_id are scored and not learned from (held_out is false); equal rows get equal results;
+Results for odd rows: a null text counts as empty, so its only token is the end; very long texts
+and words are read whole; rows with a null doc_id are scored and not learned from (held_out is false); equal rows get equal results;
 without training texts N and V are 0 and every token scores as unknown; an empty table gives
 an empty result; other columns are neither read nor returned.
 """
@@ -31,16 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, first_by_hash, written
+from ._shared import by_hash, bytes_of, columns, sample, written
 
 #: The token that ends a text; no word has a line feed.
 END = b"\n"
-STATES, OWN, CLASSES, LISTED, LISTED_BYTES = 8, 2047, 2048, 65_536, 32
+STATES, OWN, CLASSES, LISTED, LISTED_BYTES = 8, 2047, 2048, 65_536, 2_000_000
 SYMBOLS = 1 + OWN + CLASSES
-#: Texts of the first sample and its rounds; passes over all texts; tokens in a training window; tokens in a stretch of the forward recursion.
-SAMPLE, SAMPLE_ROUNDS, PASSES, WINDOW, STRETCH = 300, 8, 2, 512, 1024
-#: Bytes of text in a chunk, distinct words a task holds before it passes counts on, rows that a partial sum joins.
-CHUNK, HELD, FAN = 4_000_000, 200_000, 8
+#: Texts of the first sample, bytes of them, and its rounds; passes over all texts; tokens in a training window; tokens in a stretch of the forward recursion.
+SAMPLE, SAMPLE_BYTES, SAMPLE_ROUNDS, PASSES, WINDOW, STRETCH = 300, 2_000_000, 8, 2, 512, 1024
+#: Bytes of text in a chunk, distinct words, and bytes of text, that a task holds before it passes counts on, rows that a partial sum joins.
+CHUNK, HELD, HELD_BYTES, FAN = 4_000_000, 200_000, 64_000_000, 8
 SMOOTH = 0.1
 
 
@@ -235,13 +235,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        size = 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
         for batch in batches:
             for text in bytes_of(batch.column("text")):
                 held.update(tokens_of(text))
-                if len(held) > HELD:
+                size += len(text)
+                if len(held) > HELD or size > HELD_BYTES:
                     yield out()
                     held.clear()
+                    size = 0
         if held:
             yield out()
 
@@ -273,22 +276,22 @@ class Model:
         self.own, self.chain, self.listed, self.classes, self.total, self.distinct = own, chain, listed, classes, total, distinct
 
 
-def fit(docs: DataFrame, learned: Column, passes: int = PASSES, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, learned: Column, passes: int = PASSES, most: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model of the rows where `learned` holds, and the table of their word counts."""
     spark = docs.sparkSession
     texts = columns(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & learned)
     counts = written(word_counts(texts))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    # counts by eighths of powers of two: the least one from which on there are at most LISTED words
+    # counts by eighths of powers of two: the least one from which on words and bytes are few enough
     step = F.floor(8 * F.log2("c"))
-    short = counts.where((F.length("word") <= LISTED_BYTES) & (F.col("c") > 0))
-    least, words = None, 0
-    for r in sorted(short.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
-        words += r["count"]
-        if words > LISTED:
+    some = counts.where("c > 0")
+    least, words, size = None, 0, 0
+    for r in sorted(some.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word").cast("long")).alias("bytes")).collect(), key=lambda r: -r["s"]):
+        words, size = words + r["n"], size + r["bytes"]
+        if words > LISTED or size > LISTED_BYTES:
             break
         least = r["s"]
-    often = short.where(step >= least).collect() if least is not None else []  # bounded in rows and bytes
+    often = some.where(step >= least).collect() if least is not None else []  # bounded in rows and bytes
     listed = {bytes(r["word"]): r["c"] for r in sorted(often, key=lambda r: (-r["c"], bytes(r["word"])))}
     own = [w for w in listed if w != END][:OWN]
     classes = np.zeros((2, CLASSES))
@@ -303,8 +306,8 @@ def fit(docs: DataFrame, learned: Column, passes: int = PASSES, sample: int = SA
     unigram[1 + OWN :] = classes[0]
     chain = Chain.first(unigram)
     names = Symbols(own)
-    rows = first_by_hash(texts.where("length(text) < 50000"), docs.count(), sample).collect()
-    some = [names.of(tokens_of((r["text"] or "").encode())) for r in rows]
+    rows = sample(by_hash(texts, docs.count(), most), most, SAMPLE_BYTES)
+    some = [names.of(tokens_of(r["text"].encode())) for r in rows]
     for _ in range(SAMPLE_ROUNDS if some else 0):
         learnt = Chain.of_counts(chain.expected(some))
         # classes that the sample lacks keep the corpus's share
