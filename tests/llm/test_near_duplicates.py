@@ -85,6 +85,30 @@ def test_packed_numbers():
     assert len(N.unpacked(N.packed(x[:0]), np.uint64)) == 0
 
 
+@pytest.mark.parametrize("percent", [85, 80, 60, 100])
+@pytest.mark.parametrize("seed", range(4))
+def test_sketches_lose_no_link(seed, percent):
+    r = np.random.default_rng(seed)
+    base = [r.integers(-(2**62), 2**62, int(n)) for n in r.choice([1, 5, 30, 64, 65, 130, 300, 1000], 6)]
+    sets = []
+    for _ in range(60):
+        s = base[r.integers(0, 6)]
+        s = s[r.random(len(s)) >= r.choice([0, 0.02, 0.1, 0.3])]
+        s = np.unique(np.concatenate([s, r.integers(-(2**62), 2**62, int(r.choice([0, 0, 1, 5, 40])))]))
+        sets.append(s if len(s) else base[0])
+    n = np.array([len(s) + r.integers(0, 3) for s in sets])  # some shingles may be in no other set
+    ids = np.arange(500, 560)
+    a, b = N.may_link(ids, n, np.array([len(s) for s in sets]), [N.sketch(s.astype(np.int64), int(k)) for s, k in zip(sets, n, strict=True)], percent)
+    block = roots(list(zip(a.tolist(), b.tolist(), strict=True)), ids.tolist())
+    for i in range(60):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * o >= percent * (n[i] + n[j] - o):
+                assert block[500 + i] == block[500 + j]
+    far = [np.unique(r.integers(0, 2**62, 400)) for _ in range(20)]
+    assert not len(N.may_link(np.arange(20), np.array([len(x) for x in far]), np.array([len(x) for x in far]), [N.sketch(x, len(x)) for x in far], 80)[0])
+
+
 def shingle_sets(docs):
     out = {}
     for i, t in docs:
@@ -118,6 +142,11 @@ def test_classes_against_brute_force(spark, monkeypatch):
     # blocks of more sets than a task takes are split, and no link is lost
     monkeypatch.setattr(N, "PART_SETS", 9)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classes(frame).collect()} == want
+    # lists too long for sketches become stars, many ranges and blocks of few shingles change nothing
+    monkeypatch.setattr(N, "LIST", 3)
+    monkeypatch.setattr(N, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(N, "PART_SHINGLES", 1500)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classes(frame).collect()} == want
 
 
 def test_classes_of_documents(spark):
@@ -166,6 +195,17 @@ def test_forest():
     assert dict(zip(*[e.tolist() for e in ends], strict=True)) == {5: 3, 7: 3}
 
 
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from weftspan.llm._shared import shared_dir
+
+    there = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("table-")}
+    before = there()
+    N.classes(small(spark)).count()
+    assert len(there() - before) <= 4  # the rows, the links, and the last edges of two searches
+
+
 def test_the_pipeline_links_by_five_words_and_four_fifths(spark):
     from corpus_pipeline import deduplicated
 

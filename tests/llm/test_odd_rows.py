@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftspan.llm import grid_order, hmm_lm, langid, licenses, line_rules, mixing, ngram_join, packing, pii, quality_model
 
@@ -70,6 +71,10 @@ def test_pii(odd, none):
     assert pii.find(none, field).count() == 0 and pii.find(odd, field).count() == 13
     assert got[7]["n_email"] == 1 and got[8]["n_phone"] == 40 and got[1]["base_sha256"] == pii.sha([]) and got[1]["spans"] == ""
     texts = {r["doc_id"]: r["text"] for r in pii.redact(odd, field).collect()}
+    other = odd.select("doc_id", F.col("text").alias("Text"), F.lit(1).alias("last"))
+    assert {r["doc_id"]: r["Text"] for r in pii.redact(other, field).collect()} == texts and pii.redact(other, field).columns == other.columns
+    with pytest.raises(ValueError):
+        pii.redact(odd.drop("text"), field)
     assert "[EMAIL]" in texts[7] and texts[1] is None and texts[2] == "" and texts[8].count("[PHONE]") == 40
 
 
@@ -132,3 +137,72 @@ def test_pipeline_stages(spark, odd, none):
             if k < 4:
                 assert frame.columns == docs.columns
     assert small(spark).count() == 200
+
+
+def test_pipeline_on_whole_documents(spark):
+    """What each stage promises, held against plain readings of its input and output."""
+    import zlib
+    from collections import Counter
+
+    import corpus_pipeline
+    import numpy as np
+
+    from weftspan.llm._shared import written
+
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    steps = [sorted((tuple(r) for r in frame.collect()), key=repr)]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        frame = written(stage(spark, frame, sf))
+        steps.append(frame.collect() if k == 4 else sorted((tuple(r) for r in frame.collect()), key=repr))
+    raw, good, once, safe, mix, packed = steps
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r[0] for r in good}
+    assert not Counter(good) - Counter(raw)
+    held = [(r[0] in kept) == bool(marks[r[0]]) for r in raw if r[0] in marks and zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert np.mean(held) > 0.95
+
+    def sets(rows):
+        out = {}
+        for r in rows:
+            w = "".join(c.lower() if c.isascii() else c for c in r[1]).split()
+            out[r[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        return out
+
+    own, index = sets(good), {}
+    for i, s in own.items():
+        for x in s:
+            index.setdefault(x, []).append(i)
+    root = {i: i for i in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in own.items():
+        for j, o in Counter(j for x in s for j in index[x] if j < i).items():
+            if 100 * o >= 80 * (len(s) + len(own[j]) - o):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert sorted(r[0] for r in once) == sorted({find(i) for i in own})
+    assert [(r[0], *r[2:]) for r in sorted(safe, key=lambda r: r[0])] == [(r[0], *r[2:]) for r in sorted(once, key=lambda r: r[0])]
+    assert not any(pii.exact(r[1]) for r in safe)
+    times = Counter(mix)
+    assert set(mix) <= set(safe) and max(times.values()) <= 3
+    words, target = Counter(), Counter()
+    for r in safe:
+        words[r[3]] += len(r[1].encode().split())
+    for r in mix:
+        target[r[3]] += len(r[1].encode().split())
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(words))}
+    uncapped = {s: sum(words.values()) * w / sum(weights.values()) for s, w in weights.items()}
+    if all(uncapped[s] <= 3 * words[s] for s in words):
+        assert all(abs(target[s] - t) <= 0.02 * t + 5 for s, t in uncapped.items())
+    by: dict = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in mix)
