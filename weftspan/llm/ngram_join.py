@@ -1,11 +1,13 @@
 """Near-duplicate classes by the exact Jaccard similarity of word shingles.
 
 Equal sets become one class by a digest. How many texts have a shingle is counted exactly, by a
-shuffle of sorted, packed shingles of whole chunks of texts; each chunk gets back only those of
-its shingles that several texts have. A set with too few of them links with nothing. The others
-are indexed by their prefix in order of rarity: sets that link share a shingle there. Sets that
-share one are gathered into blocks, by linear stars instead of pairs, and each block is joined
-in one task:
+shuffle of sorted, packed shingles of whole chunks of texts, in as many ranges as the bytes of
+text ask for; each chunk gets back only those of its shingles that several texts have. A set with
+too few of them links with nothing. The others are indexed by their prefix in order of rarity:
+sets that link share a shingle there. Shingles with the same index list count once. In each list,
+two sets may link only if their sizes and their sketches allow it (a parity bit for each of about
+n places: equal shingles cancel, so the bits that differ are at most the shingles that differ);
+a forest of what may link makes blocks, linear in the lists, and each block is joined in one task:
 
 - the index list of a shingle holds its sets by size, in runs with their largest size and
   least position; a probe skips the runs whose sizes or positions can't reach the threshold;
@@ -13,13 +15,15 @@ in one task:
   from those, by the lists of the shingles in which the two differ;
 - a set all of whose candidates are linked with it already is not compared at all.
 
-A block over the bounds is split by hash. Its parts are joined, and what is not in its largest
+A list of more than LIST sets becomes a star without looking at sketches, so that no task holds
+more. A block over the bounds is split by hash. Its parts are joined, and what is not in its largest
 class by then meets every part, so that tasks stay bounded and no link is lost.
 
 Results for odd rows: null and empty texts have no shingles and link with nothing; texts with
-fewer words than a shingle have one, the whole sequence; rows that share a doc_id count as one
-document with several texts; rows with a null doc_id link with nothing and have a null
-component; an empty table gives an empty result; other columns are neither read nor returned.
+fewer words than a shingle have one, the whole sequence; a very long text is a chunk of its own;
+rows that share a doc_id count as one document with several texts; rows with a null doc_id link
+with nothing and have a null component; an empty table gives an empty result; other columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -34,22 +38,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, groups, written
+from ._shared import bytes_of, columns, forget, groups, written
 from ._words import Numbers, windows
-from .graph import components
+from .graph import components, forest
 
 WIDTH, PERCENT = 4, 85
-#: Bits of a shingle's hash; shingles of a chunk, for each range of hashes and at least and at most.
-BITS, EACH, LEAST, CHUNK = 48, 5000, 250_000, 3_000_000
-#: Sets and shingles of one part of a block.
-PART_SETS, PART_SHINGLES = 2000, 2_000_000
+#: Bytes of text for each range of hashes; shingles of a chunk, for each range and at least and at most.
+RANGE_BYTES, EACH, LEAST, CHUNK = 8_000_000, 5000, 250_000, 3_000_000
+#: Sets of a list that are compared by sketches; sets and shingles of one part of a block.
+LIST, PART_SETS, PART_SHINGLES = 1000, 500, 1_000_000
 #: Entries of a run of an index list.
 RUN = 32
 
 
 def shingles(text: bytes, numbers: Numbers, width: int = WIDTH) -> np.ndarray:
     """The set of a text, sorted. bytes.lower() lowers A-Z alone."""
-    return np.unique(windows(numbers.of(text.lower().split()), width) >> np.uint64(64 - BITS))
+    return np.unique(windows(numbers.of(text.lower().split()), width))
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -85,7 +89,7 @@ def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
         numbers, number = Numbers(), 0
         most = min(CHUNK, max(LEAST, EACH * ranges))  # small chunks are kind to memory, but a range's part must be worth a row
         ids, sets, size = [], [], 0
-        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**BITS / ranges)).astype(np.uint64)
+        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
 
         def chunk() -> pa.RecordBatch:
             name = (TaskContext.get().partitionId() << 32) + number
@@ -115,8 +119,11 @@ def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-def _shared(chunks: DataFrame, parts: int) -> DataFrame:
-    """Rows r = -1 as they are. Of each range of each chunk the shingles that several texts have anywhere: places (first), shingles (second), texts (third)."""
+def _shared(chunks: DataFrame, ranges: int) -> DataFrame:
+    """Rows r = -1 as they are. Of each range of each chunk the shingles that several texts have anywhere: places (first), shingles (second), texts (third).
+
+    A task has one range, and its share of the rows r = -1, which only pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groups(batches, "key"):
@@ -137,11 +144,19 @@ def _shared(chunks: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=rows.schema)
 
-    return chunks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, CHUNKS)
+    task = F.when(F.col("r") < 0, F.pmod(F.xxhash64("chunk"), F.lit(ranges))).otherwise(F.col("r")).cast("int")
+    return chunks.repartitionById(ranges, task).sortWithinPartitions("key").mapInArrow(run, CHUNKS)
+
+
+def sketch(names: np.ndarray, n: int) -> bytes:
+    """Parities of the shingles that fall in each of at least n places, a power of two; n: the size of the whole set."""
+    places = 1 << max(6, (n - 1).bit_length())
+    odd = np.bincount((names.view(np.uint64) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _candidates(chunks: DataFrame, reps: DataFrame, parts: int, percent: int) -> DataFrame:
-    """id, n, shingles shared with others (rarest first) and how many of them are in the prefix, of each representative that shares enough.
+    """id, n, shingles shared with others (rarest first), how many of them are in the prefix, and their sketch, of each representative that shares enough.
 
     reps: chunk and the places of its texts that represent a class. A set that links shares at
     least `percent` of its own shingles, so all other sets end here.
@@ -165,7 +180,7 @@ def _candidates(chunks: DataFrame, reps: DataFrame, parts: int, percent: int) ->
                     names[where] = unpacked(get("second", k), np.uint64).astype(np.int64)
                     texts[where] = unpacked(get("third", k), np.uint64, False).astype(np.int64)
             ends = np.cumsum(sizes)
-            out: dict[str, list] = {"id": [], "n": [], "shared": [], "k": []}
+            out: dict[str, list] = {"id": [], "n": [], "shared": [], "k": [], "sketch": []}
             for p in sorted(x for k, r in enumerate(kind) if r == -2 for x in get("ids", k)):
                 n = int(sizes[p])
                 mine = place[ends[p] - n : ends[p]]
@@ -173,11 +188,71 @@ def _candidates(chunks: DataFrame, reps: DataFrame, parts: int, percent: int) ->
                 if 100 * len(mine) < percent * n:
                     continue
                 mine = mine[np.lexsort((names[mine], texts[mine]))]
-                for name, v in zip(out, (ids[p], n, names[mine], prefix(n, percent) - (n - len(mine))), strict=True):
+                for name, v in zip(out, (ids[p], n, names[mine], prefix(n, percent) - (n - len(mine)), sketch(names[mine], n)), strict=True):
                     out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int64())), pa.array(out["k"], pa.int32())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int64())), pa.array(out["k"], pa.int32()), pa.array(out["sketch"], pa.binary())], names=list(out))
 
-    return own.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "id long, n long, shared array<long>, k int")
+    return own.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "id long, n long, shared array<long>, k int, sketch binary")
+
+
+def may_link(ids: np.ndarray, n: np.ndarray, shared: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (x, y) that connects the sets of a list which sizes and sketches allow to link; none that link are apart.
+
+    n: sizes of the whole sets; shared: of what the sketches are of.
+    """
+    m = len(ids)
+    order = np.argsort(n, kind="stable")
+    size, part, left = n[order], shared[order], ids[order]
+    longest = size * 100 // percent  # of a set that links with this one, no smaller
+    # by places: a set meets those of as many places, and those of more, folded
+    places = np.array([len(sketches[k]) for k in order])
+    xs, ys = [], []
+    for p in np.unique(places).tolist():
+        own = np.flatnonzero(places == p)
+        others = np.flatnonzero((places >= p) & (size <= longest[own].max()))
+        folded = np.empty((len(others), p // 8), np.uint64)
+        for row, k in enumerate(others.tolist()):
+            b = np.frombuffer(sketches[order[k]], np.uint64)
+            folded[row] = np.bitwise_xor.reduce(b.reshape(-1, p // 8), axis=0)
+        at = np.searchsorted(others, own)
+        for j, k in zip(at.tolist(), own.tolist(), strict=True):
+            end = int(np.searchsorted(size[others], longest[k], "right"))
+            if end <= j + 1:
+                continue
+            apart = np.bitwise_count(folded[j + 1 : end] ^ folded[j]).sum(1)
+            there = others[j + 1 : end]
+            both = -(-percent * (size[k] + size[there]) // (100 + percent))
+            hit = there[apart <= part[k] + part[there] - 2 * both]
+            if len(hit):
+                xs.append(np.full(len(hit), left[k]))
+                ys.append(left[hit])
+    if m < 2 or not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return forest(np.concatenate(xs), np.concatenate(ys))
+
+
+def _edges(found: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (a, b) between candidates such that no two sets that link are in different components."""
+    posted = found.select("id", F.explode(F.slice("shared", F.lit(1), F.greatest("k", F.lit(0)))).alias("token"))
+    # the members of a list as two sums of hashes: lists with equal members are one
+    lists = posted.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
+    lists = written(lists.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.min("lead").alias("lead")).select("token", "m", "lead"))
+    members = posted.join(lists, "token")
+    stars = members.where(F.col("m") > LIST).select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    marks = found.select("id", "n", F.size("shared").cast("long").alias("s"), "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, "token"):
+            get = lambda c, rows=rows: rows.column(c).to_numpy()
+            a, b = may_link(get("id"), get("n"), get("s"), rows.column("sketch").to_pylist(), percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    small = members.where(F.col("m") <= LIST).select("token", "id").join(marks, "id")
+    near = small.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+    out = written(near.unionByName(stars))
+    forget(lists)
+    return out
 
 
 def link_sets(sets: list[np.ndarray], sizes: list[int] | None = None, percent: int = PERCENT) -> np.ndarray:
@@ -287,8 +362,13 @@ def _tasks(found: DataFrame, tasks: DataFrame, parts: int, percent: int) -> Data
     return _joined(work.repartition(parts, "task").sortWithinPartitions("task"), percent)
 
 
+def _pieces(rows: int | str = "*", s: str = "s"):
+    """How many parts so many sets and shingles need."""
+    return F.greatest(F.ceil(F.count(rows) / PART_SETS), F.ceil(F.sum(s) / PART_SHINGLES))
+
+
 def _large(found: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Links of blocks that are too large for a task: id, component, parts.
+    """Links of blocks that are too large for a task: id, s (its shingles), component, parts.
 
     Parts of a block are joined each on its own, then one set of each class that this finds. What is
     in the block's largest class by then needs no comparison with the rest of that class. All others
@@ -298,17 +378,22 @@ def _large(found: DataFrame, members: DataFrame, parts: int, percent: int) -> Da
     own = written(_tasks(found, members.select("id", F.xxhash64("component", "part").alias("task")), parts, percent))
 
     def classed(links: DataFrame) -> DataFrame:
-        roots = components(links).withColumnRenamed("component", "class")
-        return written(members.join(roots, "id", "left").withColumn("class", F.coalesce("class", "id")))
-
-    leads = classed(own).groupBy("component", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("m")).where("m > 1")
-    some = leads.groupBy("component").agg(F.ceil(F.count("*") / PART_SETS).alias("groups"))
-    leads = leads.join(written(some), "component").select("id", F.xxhash64("component", F.lit("lead"), F.pmod(F.xxhash64("id"), F.col("groups"))).alias("task"))
+        roots = components(links)
+        out = written(members.join(roots.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id")))
+        forget(roots)
+        return out
+
+    first = classed(own)
+    leads = first.groupBy("component", "part", "class").agg(F.min(F.struct("id", "s")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("component", "lead.id", "lead.s")
+    some = written(leads.groupBy("component").agg(_pieces().alias("groups")))
+    leads = leads.join(some, "component").select("id", F.xxhash64("component", F.lit("lead"), F.pmod(F.xxhash64("id"), F.col("groups"))).alias("task"))
     links = written(own.unionByName(_tasks(found, leads, parts, percent)))
     now = classed(links)
-    counts = now.groupBy("component", "class").agg(F.count("*").alias("m"))
-    most = counts.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("top"))
-    most = written(most.withColumn("groups", F.ceil((F.col("all") - F.col("top")) / PART_SETS)).where("groups > 0"))
+    forget(first, some)
+    counts = now.groupBy("component", "class").agg(F.count("*").alias("m"), F.sum("s").alias("s"))
+    most = written(counts.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("most")))
+    rest = now.join(most, "component").where("class <> most").groupBy("component").agg(_pieces().alias("groups"))
+    most = written(most.join(rest, "component"))
     now = now.join(most, "component")
     meet = lambda i, j: F.xxhash64("component", F.lit("meet"), i, j).alias("task")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -321,8 +406,11 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """doc_id, n_shingles and component_id of each row of docs."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
-    parts = _parts(docs.sparkSession)
-    chunks = written(_shared(_chunks(columns(docs, "doc_id", "text"), width, parts), parts))
+    texts = columns(docs, "doc_id", "text")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE_BYTES))
+    parts = max(ranges, _parts(docs.sparkSession))
+    chunks = written(_shared(_chunks(texts, width, ranges), ranges))
     flat = chunks.where("r = -1").select("chunk", F.posexplode(F.arrays_zip("ids", "n", "a", "b")).alias("place", "d"))
     rows = written(flat.select("chunk", "place", F.col("d.ids").alias("doc_id"), "d.n", "d.a", "d.b"))
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -330,17 +418,19 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     copies = sets.select("a", "b", "n", "doc_id").join(first, ["a", "b", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = first.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("places"))  # at most a chunk's texts
     found = written(_candidates(chunks, reps, parts, percent))
-    # stars: each index list's members link with its least one
-    posted = found.select("id", F.explode(F.slice("shared", F.lit(1), F.col("k"))).alias("token"))
-    leads = written(posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"))
-    blocks = written(components(posted.join(leads, "token").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
-    sized = found.select("id", F.size("shared").alias("s")).join(blocks, "id")
-    totals = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("s") / PART_SHINGLES)).alias("parts")))
+    forget(chunks)
+    edges = _edges(found, parts, percent)
+    roots = components(edges)
+    blocks = written(found.select("id", F.size("shared").cast("long").alias("s")).join(roots, "id"))
+    forget(edges, roots)
+    totals = written(blocks.groupBy("component").agg(_pieces().alias("parts")))
     members = written(blocks.join(totals, "component"))
     links = _tasks(found, members.where("parts = 1").select("id", F.xxhash64("component").alias("task")), parts, percent)
     if totals.where("parts > 1").limit(1).count():
         links = links.unionByName(_large(found, members.where("parts > 1"), parts, percent))
-    linked = written(components(links.unionByName(copies)))
+    ends = components(links.unionByName(copies))
+    linked = written(ends)
+    forget(found, first, blocks, totals, members, ends)
     # most documents link with nothing; those that do are one row each here
     out = rows.join(linked, rows["doc_id"] == linked["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
