@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: classified, deduplicated, masked, mixed and packed."""
+"""A training corpus from raw documents: classified, deduplicated, masked, mixed and packed.
+
+Every stage takes documents with any further columns and in any order, tells rows apart by all they
+hold (never by doc_id alone), takes whole texts of any length, and gives an empty result of the same
+columns for an empty table. What each does with nulls, ties and equal rows is said at the stage.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,11 @@ SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (score of at least a half)."""
+    """Documents that the quality classifier doesn't reject (score of at least a half; a tie stays).
+
+    Null and empty texts score what the model gives no words. Equal rows all stay or all go. Rows with a
+    null doc_id are scored, and not learned from. Without labels nothing is rejected.
+    """
     prepare(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~langid.held_out(3, 1))
     name = next(n for n in ("score", *(f"score{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
@@ -24,7 +33,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One row, that of the least doc_id, of each group that shingles link, and one of equal rows.
 
     Rows are told apart by a hash of all that they hold, so that texts under one doc_id, or under
-    none, each count for themselves; a null doc_id comes after all others.
+    none, each count for themselves; a null doc_id comes after all others, and equal ids go by the hash.
+    Null and empty texts link with nothing, so only equal rows of them fall together.
     """
     prepare(spark)
     own = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps can't be compared
@@ -42,19 +52,23 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. Null and empty texts, other columns and all rows stay, equal ones too."""
     prepare(spark)
     return pii.redact(docs, pii.fit(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, none to three times.
+
+    A null source is a source of its own; rows without words are taken as their odds say and add nothing;
+    each of several equal rows counts for itself. A null doc_id draws by its text.
+    """
     prepare(spark)
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: pieces of documents with their sequence and place in it."""
+    """Token sequences: pieces of documents with their sequence and place in it. A null or empty text is its end id alone; equal rows are packed each on their own."""
     prepare(spark)
     return packing.pack_documents(docs)
 
