@@ -16,6 +16,7 @@ PAGES = (
 )
 LINKS = "source_url string, target_url string, anchor_text string, link_type string, rel_attribute string, crawled_at timestamp"
 ERRORS = "url string, error_type string, error_message string, occurred_at timestamp"
+ROBOTS = "host string, text string"
 META = "key string, value string, seq bigint"
 COMPLETED_COLUMNS = (
     "id", "url", "status_code", "title", "meta_description", "meta_robots", "canonical_url", "content_hash", "ttfb_ms", "download_time_ms", "response_size_bytes", "response_http_headers",

@@ -1,12 +1,14 @@
 """The crawl: claim a batch, fetch, parse, link, enqueue, save; until nothing is pending.
 
-One driver owns the claims, so no two batches share a page. Everything a batch changes becomes
-one snapshot of pages, links and errors; if it dies before, its claims are stale claims of the
-next run. A limit of pages is met exactly, as a batch never claims more than what is left.
+One driver owns the claims, so no two batches share a page. Everything a batch changes in pages,
+links and errors counts from one manifest on; if it dies before, its claims are stale claims of the
+next run. Links, errors and robots texts are only added to; pages are written anew. A limit of pages is
+met exactly, as a batch never claims more than what is left.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass, field
 
@@ -18,7 +20,7 @@ from ..functions.html import parse_pages
 from ..operators import analytics, graph, lifecycle
 from ..settings import Settings
 from ..sources import schemas
-from ..sources.fetch import Client, fetch
+from ..sources.fetch import Client, fetch, robots_texts
 from ..sources.store import Store
 
 LINK_COLUMNS = [c.split()[0] for c in schemas.LINKS.split(", ")]
@@ -91,7 +93,7 @@ class Crawl:
         pages = self.store.write("pages", pages)
         mine = pages.where("status = 'processing'").select("url")
         # a fetch is done once: its rows are a table before anything reads them
-        got = self.store.write("fetched", fetch(mine, s, self.client))
+        got = self.store.write("fetched", fetch(mine if s.ignore_robots_txt else self._with_robots(mine), s, self.client))
         ok = got.where("error_type IS NULL").withColumn("is_html", F.coalesce(headers.is_html(F.col("headers")["content-type"]), F.lit(False)) & (F.col("status_code") < 400))
         parsed = parse_pages(ok.where("is_html").select("url", "final_url", F.col("body").alias("html")), s.allowed_schemes, url="final_url").persist()
         empty = F.lit("")
@@ -101,7 +103,8 @@ class Crawl:
         )
         found = graph.links_of_parsed(parsed, "final_url", s.follow_external_hosts).withColumn("crawled_at", now)
         fresh = graph.first_edges(found, ["pos"])
-        edges = graph.save_edges(self.links, found, ["pos"]).select(*LINK_COLUMNS)
+        pair = ["source_url", "target_url"]
+        edges = fresh.join(self.links.select(*pair), pair, "left_anti").select(*LINK_COLUMNS)
         # nodes and queue before pages are complete, all in one snapshot
         pages = graph.with_nodes(pages, fresh, now).select(*pages.columns)
         pages = lifecycle.add_to_queue(pages, lifecycle.frontier(fresh, pages, self.scope()), now)
@@ -110,26 +113,51 @@ class Crawl:
         failed = bad.where("error_type <> 'robots_txt_disallow'").select("url", "error_type", "error_message")
         pages = lifecycle.save_results(pages, results)
         pages = lifecycle.save_skipped(lifecycle.save_errors(pages, failed), skipped)
-        errors = self.errors.unionByName(failed.withColumn("occurred_at", now))
-        self.store.write("links", edges)
-        self.store.write("errors", errors)
-        self.store.write("pages", pages)
+        errors = lifecycle.append_errors(self.spark.createDataFrame([], schemas.ERRORS), failed, now)
+        self.store.commit({"pages": pages}, {"links": edges, "errors": errors})
         parsed.unpersist()
         n = got.groupBy().agg(F.count_if(F.col("error_type").isNull()).alias("ok"), F.count_if(F.col("error_type") == "robots_txt_disallow").alias("skip"), F.count("*").alias("all")).first()
         self.stats.batches += 1
         self.stats.crawled += n["ok"]
         self.stats.skipped += n["skip"]
         self.stats.errors += n["all"] - n["ok"] - n["skip"]
-        for t in ("pages", "links", "errors", "fetched"):
-            self.store.prune(t)
+        self.store.prune()
         if self.log:
-            self.log.info("batch done", extra={"batch": self.stats.batches, "crawled": self.stats.crawled, "errors": self.stats.errors, **{f"queue_{k}": v for k, v in self.report().items()}})
+            self.log.info("batch done", extra={"batch": self.stats.batches, **self._progress(), **{f"queue_{k}": v for k, v in self.report().items()}})
         return True
 
+    def _with_robots(self, claimed: DataFrame) -> DataFrame:
+        """Claimed urls with the robots.txt of their hosts, as far as it can be had; new ones are kept for all later batches and runs."""
+        known = self._table("robots", schemas.ROBOTS)
+        host = urls.authority(F.col("url"))
+        new = claimed.join(known.select("host"), host == F.col("host"), "left_anti")
+        if new.limit(1).count():
+            self.store.commit(more={"robots": robots_texts(new, self.settings, self.client)})
+        texts = self._table("robots", schemas.ROBOTS).groupBy("host").agg(F.max("text").alias("robots"))
+        return claimed.join(texts, host == F.col("host"), "left").select("url", "robots")
+
+    def _progress(self) -> dict[str, int]:
+        return {"crawled": self.stats.crawled, "errors": self.stats.errors, "skipped": self.stats.skipped, "seconds": int(self.stats.seconds)}
+
     def report(self) -> dict[str, int]:
         return analytics.status_counts(self.pages).first().asDict()
 
-    def run(self) -> Stats:
+    def run(self, report_every: float = 10.0) -> Stats:
+        """Crawls until nothing is to do; what has been done by then is logged every few seconds, also while a batch runs."""
+        over = threading.Event()
+
+        def reporter() -> None:
+            while not over.wait(report_every):
+                self.log.info("progress", extra=self._progress())
+
+        if self.log:
+            threading.Thread(target=reporter, daemon=True).start()
+        try:
+            return self._run()
+        finally:
+            over.set()
+
+    def _run(self) -> Stats:
         self.start()
         while True:
             if self.step():
