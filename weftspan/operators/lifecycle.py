@@ -22,7 +22,7 @@ def _set(pages: DataFrame, when: Column, **values: Column) -> DataFrame:
 
 def add_to_queue(pages: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
     """New URLs become pending pages, discovered ones pending as of now; all other pages stay as they are."""
-    asked = urls.select(F.col("url").alias("__url")).distinct()
+    asked = urls.select(F.col("url").alias("__url")).where("__url IS NOT NULL").distinct()
     both = pages.join(asked, pages["url"] == asked["__url"], "full")
     new, promoted = F.col("url").isNull(), F.col("__url").isNotNull() & (F.col("status") == "discovered")
     out = {"status": F.when(new | promoted, "pending").otherwise(F.col("status")), "added_at": F.when(new | promoted, now).otherwise(F.col("added_at"))}
@@ -50,8 +50,12 @@ def claim_next(pages: DataFrame, n: int, now: Column) -> tuple[DataFrame, DataFr
 
 
 def _with(pages: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
-    """pages with columns `__hit` and, prefixed, those of rows that have the page's url."""
-    return pages.join(rows.select("url", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in names]), "url", "left")
+    """pages with columns `__hit` and, prefixed, those of rows that have the page's url.
+
+    Of several rows of a url the greatest counts, compared by the columns in their order, so a page never becomes two.
+    """
+    one = rows.groupBy("url").agg(F.max(F.struct(*names)).alias("__row")) if names else rows.select("url").distinct()
+    return pages.join(one.select("url", F.lit(True).alias("__hit"), *[F.col(f"__row.{c}").alias(f"__{c}") for c in names]), "url", "left")
 
 
 def save_results(pages: DataFrame, results: DataFrame) -> DataFrame:
@@ -113,6 +117,11 @@ def frontier(links: DataFrame, pages: DataFrame, scope: Column) -> DataFrame:
     return targets.join(pages.select("url", "status"), "url", "left").where("status IS NULL OR status = 'discovered'").select("url")
 
 
+def append_errors(errors: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """The error log and, as of now, a row for each failure (url, error_type, error_message)."""
+    return errors.unionByName(failures.select("url", "error_type", "error_message", now.alias("occurred_at")))
+
+
 def set_meta(meta: DataFrame, key: str, value: str, seq: int) -> DataFrame:
     row = meta.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), F.lit(seq).cast("bigint").alias("seq"))
     return meta.unionByName(row)
