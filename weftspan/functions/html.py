@@ -149,6 +149,17 @@ def parse_pages(pages: DataFrame, schemes: Sequence[str] = DEFAULT_SCHEMES, url:
     return pages.mapInPandas(run, f"{shape}, {PARSED}")
 
 
+@F.udtf(returnType="pos int, target_url string, anchor_text string, rel_attribute string, is_external boolean")
+class ExtractLinks:
+    """extract_links(url, html) for SQL: a row for each link of a page, in document order; none for null."""
+
+    def eval(self, url: str, html: str):
+        if url is None or html is None:
+            return
+        for k, link in enumerate(parse_page(url, html)["links"]):
+            yield k, link["url"], link["anchor_text"], link["rel_attribute"], link["is_external"]
+
+
 def content_hash(html: Column) -> Column:
     """Lower-case hex SHA-256 of the bytes."""
     return F.sha2(html, 256)
@@ -162,8 +173,18 @@ def unescaped(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    """The last title of flat markup."""
-    return F.trim(unescaped(F.coalesce(F.try_element_at(F.regexp_extract_all(html, F.lit("(?s)<title>(.*?)</title>"), F.lit(1)), F.lit(-1)), F.lit(""))))
+    """The last title of flat markup that isn't empty."""
+    found = F.filter(F.regexp_extract_all(html, F.lit("(?is)<title>(.*?)</title>"), F.lit(1)), lambda t: t != "")
+    return F.trim(unescaped(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))))
+
+
+def titles(pages: DataFrame) -> DataFrame:
+    """page_id and title of every page: by the expression above where it surely reads what parse_page() does, else by that; '' for null pages."""
+    plain = pages.select("page_id", "html")
+    odd = r"(?is)<title>[^<]*&(?!(?:lt|gt|quot|apos|#39|amp);)"
+    flat = F.coalesce((F.col("html").rlike(COVERED) & ~F.col("html").rlike(odd)) | ~F.col("html").rlike("(?i)<title"), F.lit(True))
+    rest = parse_pages(plain.where(~flat).withColumn("url", F.lit("http://x/"))).select("page_id", "title")
+    return plain.where(flat).select("page_id", F.coalesce(title(F.col("html")), F.lit("")).alias("title")).unionByName(rest)
 
 
 def covered(html: Column, url: Column) -> Column:

@@ -80,7 +80,8 @@ def canonical_mismatch(pages: DataFrame) -> DataFrame:
 def degrees(links: DataFrame) -> DataFrame:
     """Extension: in and out degree by URL over distinct edges."""
     edges = links.select("source_url", "target_url").distinct()
-    ends = edges.select(F.col("source_url").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select(F.col("target_url").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda c, o: F.struct(F.col(c).alias("url"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"))
+    ends = edges.select(F.inline(F.array(end("source_url", 1), end("target_url", 0))))
     return ends.groupBy("url").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 

@@ -48,7 +48,7 @@ def first_edges(links: DataFrame, order: Sequence[str], source: str = "source_ur
 
 def endpoints(links: DataFrame) -> DataFrame:
     """Distinct URLs at either end."""
-    return links.select(F.col("source_url").alias("url")).union(links.select(F.col("target_url").alias("url"))).distinct()
+    return links.select(F.explode(F.array("source_url", "target_url")).alias("url")).distinct()
 
 
 def unseen(urls: DataFrame, pages: DataFrame) -> DataFrame:

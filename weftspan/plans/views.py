@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import with_header_columns
+from ..functions.html import ExtractLinks
 from ..operators import analytics, graph, lifecycle
+from ..session import find_package
 from ..sources import schemas
 from ..sources.store import Store
 
 
 def register(spark: SparkSession, warehouse: str) -> list[str]:
-    """Temporary views over the last snapshots: pages, link_relations, links, crawl_errors, crawl_meta, completed_pages, queue_status."""
+    """Temporary views over the last snapshots: pages, link_relations, links, crawl_errors, crawl_meta, completed_pages, queue_status; and the table function extract_links(url, html)."""
     store = Store(spark, warehouse)
 
     def have(name: str, shape: str) -> DataFrame:
@@ -29,6 +31,8 @@ def register(spark: SparkSession, warehouse: str) -> list[str]:
         "completed_pages": analytics.completed_pages(pages),
         "queue_status": analytics.queue_status(pages),
     }
+    find_package(spark)
+    spark.udtf.register("extract_links", ExtractLinks)
     for name, rows in views.items():
         rows.createOrReplaceTempView(name)
     return list(views)
