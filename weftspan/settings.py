@@ -159,7 +159,10 @@ def _cast(name: str, value: Any) -> Any:
         return value if isinstance(value, bool) else str(value).lower() in ("1", "t", "true", "yes")
     if isinstance(default, list):
         return list(value) if isinstance(value, (list, tuple)) else [v for v in str(value).split(",") if v]
-    return type(default)(value)
+    try:
+        return type(default)(value)
+    except (TypeError, ValueError) as e:
+        raise SettingsError(f"{name}: not a number: {value!r}" if isinstance(default, (int, float)) else f"{name}: {value!r}") from e
 
 
 def parse_yaml(text: str) -> dict[str, Any]:
