@@ -64,6 +64,41 @@ def test_client(site):
     c.close()
 
 
+def test_nothing_private_goes_to_another_host(site):
+    home = f"http://localhost:{site.rpartition(':')[2]}"
+    old, Site.do_GET = Site.do_GET, lambda self: (Site.seen.append((self.path, dict(self.headers))), self.send_response(302 if self.path == "/away" else 200), self.send_header("Location", f"{home}/there"), self.send_header("Content-Length", "0"), self.end_headers())
+    try:
+        Client("a", bearer="t", api_key=("X-Key", "v"), headers={"X-Own": "o", "Cookie": "c"}).get(f"{site}/away")
+    finally:
+        Site.do_GET = old
+    first, then = (h for _, h in Site.seen)
+    assert first["Authorization"] == "Bearer t" and first["X-Key"] == "v" and first["Cookie"] == "c" and first["Accept-Language"]
+    assert then["X-Own"] == "o" and not {"Authorization", "X-Key", "Cookie"} & set(then)
+
+
+def test_ten_requests_at_most(site):
+    with pytest.raises(FetchError):
+        Client("a").get(f"{site}/loop")
+    assert len(Site.seen) == 10
+
+
+def test_robots_are_asked_for_once(spark, site, tmp_path):
+    s = Settings(seed_urls=[f"{site}/"], warehouse=str(tmp_path / "w"), request_timeout=2)
+    Crawl(spark, s, batch=1).run()
+    Crawl(spark, Settings(seed_urls=[f"{site}/data"], warehouse=s.warehouse, request_timeout=2)).run()
+    assert len([1 for p, _ in Site.seen if p == "/robots.txt"]) == 1
+
+
+def test_a_host_is_one_task_whatever_its_schemes(spark, site):
+    frame = spark.createDataFrame([(f"{x}://h{k}.example/",) for k in range(20) for x in ("http", "https")], "url string")
+    from pyspark.sql import functions as F
+
+    from weftspan.functions.urls import authority
+
+    dealt = frame.repartition(8, F.lower(authority(F.col("url")))).withColumn("task", F.spark_partition_id())
+    assert dealt.groupBy(authority(F.col("url"))).agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+
+
 def test_credentials():
     assert Client.of(Settings(auth=Auth(kind="bearer", token="t"))).sent()["Authorization"] == "Bearer t"
     assert Client.of(Settings(auth=Auth(kind="api-key", header="X-Key", value="v"), headers=["X-Key: mine"])).sent()["X-Key"] == "mine"

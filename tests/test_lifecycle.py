@@ -131,5 +131,32 @@ def test_store(spark, tmp_path):
         store.write("t", spark.range(k + 1))
     (tmp_path / "t" / "v00000009").mkdir()  # a write that died
     assert store.read("t").count() == 4 and store.versions("t") == [1, 2, 3, 4]
-    store.prune("t")
+    store.prune()
     assert store.versions("t") == [3, 4]
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    from weftspan.sources.store import DELTAS, Store
+
+    store = Store(spark, str(tmp_path))
+    store.commit({"pages": spark.range(3)}, {"links": spark.range(2)})
+    bad = spark.range(1).selectExpr("raise_error('no') AS id")
+    with pytest.raises(Exception, match="no"):
+        store.commit({"pages": spark.range(9)}, {"links": bad})  # pages were written, and don't count
+    assert store.read("pages").count() == 3 and store.read("links").count() == 2
+    store.commit({"pages": spark.range(4)}, {"links": spark.range(5)})
+    assert store.read("pages").count() == 4 and store.read("links").count() == 7 and len(store.current()["links"]) == 2
+    for _ in range(DELTAS):
+        store.commit(more={"links": spark.range(1)})
+    assert store.read("links").count() == 7 + DELTAS and len(store.current()["links"]) < DELTAS
+    store.prune()
+    assert store.read("links").count() == 7 + DELTAS and store.read("pages").count() == 4
+
+
+def test_one_row_a_url(spark):
+    have = pages(spark, ("a", "processing"), ("b", "processing"))
+    twice = spark.createDataFrame([("a", 500), ("a", 200), ("a", None)], "url string, status_code int")
+    done = L.save_results(have, twice).collect()
+    assert len(done) == 2 and {r["url"]: r["status_code"] for r in done}["a"] == 500
+    assert L.update_status(have, spark.createDataFrame([("a",), ("a",)], "url string"), "skipped").count() == 2
+    assert {r["url"] for r in L.add_to_queue(have, spark.createDataFrame([(None,), ("c",)], "url string"), F.lit(5)).collect()} == {"a", "b", "c"}

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import headers, html, robots, urls
 from ..operators import analytics, graph, lifecycle
+from ..session import find_package
 from ..sources import schemas
-
+from ..sources.store import export_csv, materialized, shared_dir
+from . import fixtures
+from .fixtures import RICH_SQL
 from .tables import LIFE, errors, life, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,7 @@ ORACLES: dict[str, str] = {}
 #: What the queries ask with.
 NOW, CUTOFF, TRIES, CLAIM = 5000, 50, 3, 7
 INCLUDE, EXCLUDE = [r"/en/", r"/de/\d"], [r"utm_", r"\.html$"]
+ROBOTS_OTHER = "User-agent: nobody\nDisallow: /\n\nUser-agent: mycrawler\nDisallow: /\nAllow: /en/\nAllow: /*.html$\n"
 ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html\nAllow: /en/*5*.html\nDisallow: /es/$\nCrawl-delay: 1.5\n# end\nUser-agent: other\nDisallow: /\n"
 
 LIFE_SQL = "life AS (" + LIFE.replace("{src}", "pages") + ")"
@@ -63,7 +67,7 @@ def outbound_links(spark, sf_dir):
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(coalesce(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[-1], ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g')) AS title FROM pages""")
 def page_titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    return html.titles(table(spark, sf_dir, "pages"))
 
 
 @query("SELECT page_id, sha256(html) AS content_hash FROM pages")
@@ -126,11 +130,12 @@ def include_exclude(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", urls.crawl_scope(F.col("url"), [], INCLUDE, EXCLUDE, follow_external=True).alias("wanted"))
 
 
-@query(r"""WITH p AS (SELECT url, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
-SELECT url, CASE WHEN starts_with(path, '/fr/') THEN starts_with(path, '/fr/1') OR regexp_matches(path, '^/en/.*5.*\.html') WHEN regexp_matches(path, '^/.*\.html') THEN regexp_matches(path, '^/en/.*5.*\.html') WHEN path = '/es/' THEN regexp_matches(path, '^/en/.*5.*\.html') ELSE true END AS allowed FROM p""")
+@query(r"""WITH p AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
+SELECT url, CASE WHEN NOT starts_with(host, 'www.') THEN starts_with(path, '/en/') OR contains(path, '.html$') WHEN starts_with(path, '/fr/') THEN starts_with(path, '/fr/1') OR regexp_matches(path, '^/en/.*5.*\.html') WHEN regexp_matches(path, '^/.*\.html') THEN regexp_matches(path, '^/en/.*5.*\.html') WHEN path = '/es/' THEN regexp_matches(path, '^/en/.*5.*\.html') ELSE true END AS allowed FROM p""")
 def robots_allowed(spark, sf_dir):
+    """Two sets of rules, by host; groups for other agents count for nothing, a final '$' after a '*' is a character."""
     pages = table(spark, sf_dir, "pages").select("url")
-    texts = pages.select(urls.authority(F.col("url")).alias("host")).distinct().withColumn("text", F.lit(ROBOTS))
+    texts = pages.select(urls.authority(F.col("url")).alias("host")).distinct().withColumn("text", F.when(F.col("host").startswith("www."), ROBOTS).otherwise(ROBOTS_OTHER))
     return robots.allowed_urls(pages, robots.read_rules(texts))
 
 
@@ -159,7 +164,7 @@ def nodes_from_links(spark, sf_dir):
 
 @query(f"WITH {EDGE_SQL} SELECT source_url, target_url, anchor_text, link_type, rel_attribute FROM edge")
 def links_view(spark, sf_dir):
-    found = edges(spark, sf_dir)
+    found = materialized(edges(spark, sf_dir))  # pages are searched once
     nodes = graph.with_nodes(table(spark, sf_dir, "pages").select("url", F.lit("completed").alias("status"), F.lit(0).alias("added_at"), graph.node_id(F.col("url")).alias("id")), found, F.lit(NOW))
     return graph.links_view(graph.relations(found, nodes).drop("page_id", "pos"), nodes).select("source_url", "target_url", "anchor_text", "link_type", "rel_attribute")
 
@@ -312,8 +317,8 @@ def error_pages(spark, sf_dir):
 
 @query("SELECT 'https://user' || user_id || '.example/' AS url, event_type AS error_type, props AS error_message, ts AS occurred_at FROM events WHERE event_type = 'error' UNION ALL SELECT url, 'processing_error', 'new', TIMESTAMP '2024-01-01 00:00:00' FROM pages WHERE page_id % 50 = 0")
 def append_errors(spark, sf_dir):
-    new = table(spark, sf_dir, "pages").where("page_id % 50 = 0").selectExpr("url", "'processing_error' AS error_type", "'new' AS error_message", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS occurred_at")
-    return errors(spark, sf_dir).drop("event_id").unionByName(new)
+    new = table(spark, sf_dir, "pages").where("page_id % 50 = 0").selectExpr("url", "'processing_error' AS error_type", "'new' AS error_message")
+    return lifecycle.append_errors(errors(spark, sf_dir).drop("event_id"), new, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
 
 
 @query("SELECT 'k' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id")
@@ -328,9 +333,9 @@ def url_status(spark, sf_dir):
     return lifecycle.url_status(pages, asked)
 
 
-@query(f"WITH {LINK_SQL}, t AS (SELECT DISTINCT target_url AS url FROM link) SELECT url FROM t WHERE NOT regexp_matches(url, '%') AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 <> 5)")
+@query(f"WITH {LINK_SQL}, t AS (SELECT DISTINCT target_url AS url FROM link) SELECT url FROM t WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 10 <> 5)")
 def frontier_next(spark, sf_dir):
-    return lifecycle.frontier(links(spark, sf_dir), life(spark, sf_dir), urls.crawl_scope(F.col("url"), [], exclude=["%"], follow_external=True))
+    return lifecycle.frontier(links(spark, sf_dir), life(spark, sf_dir), urls.crawl_scope(F.col("url"), [], follow_external=True))
 
 
 @query(f"WITH {LIFE_SQL} SELECT count(*) AS bad FROM life WHERE status NOT IN ({', '.join(repr(x) for x in schemas.STATUSES)})")
@@ -372,16 +377,102 @@ def error_histogram(spark, sf_dir):
     return analytics.error_histogram(errors(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LIFE_SQL} SELECT CAST(id AS VARCHAR) AS id, url, CAST(status_code AS VARCHAR) AS status_code, CAST(ttfb_ms AS VARCHAR) AS ttfb_ms, json_extract_string(response_http_headers, '$."content-type"') AS content_type,
+  CAST(CAST(regexp_extract(json_extract_string(response_http_headers, '$."content-length"'), '^([0-9]+)', 1) AS BIGINT) AS VARCHAR) AS content_length, json_extract_string(response_http_headers, '$.server') AS server, json_extract_string(response_http_headers, '$."x-cache"') AS x_cache FROM life WHERE status = 'completed'""")
 def csv_export(spark, sf_dir):
-    """Completed pages written as CSV and read back."""
-    import tempfile
-
-    from ..sources.store import export_csv
+    """Completed pages written as CSV and read back, as text."""
+    import uuid
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftspan-")).rstrip("/")
-    out = f"{folder}/csv-{abs(hash(sf_dir)) % 10**8}"
-    export_csv(analytics.completed_pages(life(spark, sf_dir)).drop("response_http_headers"), out)
+    out = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    export_csv(analytics.completed_pages(life(spark, sf_dir)).select("id", "url", "status_code", "ttfb_ms", "content_type", "content_length", "server", "x_cache"), out)
     return spark.read.option("header", True).csv(out)
 
 
+def rich_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.links_of_pages(fixtures.rich(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT * FROM rlink")
+def rich_extract_links(spark, sf_dir):
+    """Anchors of any form, with resolved references, texts, types and rel."""
+    return rich_links(spark, sf_dir)
+
+
+@query(f"WITH {RICH_SQL} SELECT page_id, pos, target_url, anchor_text, rel_attribute, link_type = 'external' AS is_external FROM rlink")
+def rich_extract_links_udtf(spark, sf_dir):
+    """The same by the table function, from SQL."""
+    find_package(spark)
+    spark.udtf.register("extract_links", html.ExtractLinks)
+    fixtures.rich(spark, sf_dir).createOrReplaceTempView("weftspan_rich")
+    return spark.sql("SELECT page_id, pos, target_url, anchor_text, rel_attribute, is_external FROM weftspan_rich, LATERAL extract_links(url, html)")
+
+
+@query(f"WITH {RICH_SQL} SELECT page_id, 'Page ' || p || ' & café' AS title, 'About ' || p AS meta_description, 'noindex' AS meta_robots, CASE WHEN page_id % 3 = 0 THEN origin || '/canon/' || p ELSE '' END AS canonical_url, sha256(html) AS content_hash, CAST(7 AS BIGINT) AS links FROM rich")
+def rich_page_facts(spark, sf_dir):
+    read = html.parse_pages(fixtures.rich(spark, sf_dir).select("page_id", "url", "html"))
+    return read.select("page_id", "title", "meta_description", "meta_robots", "canonical_url", "content_hash", F.size("links").cast("bigint").alias("links"))
+
+
+@query(f"WITH {RICH_SQL} SELECT page_id, 'Page ' || p || ' & café' AS title FROM rich")
+def rich_titles(spark, sf_dir):
+    return html.titles(fixtures.rich(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT target_url, count(DISTINCT source_url) AS linking_pages, count(*) AS links FROM rlink GROUP BY target_url")
+def rich_inbound_links(spark, sf_dir):
+    return graph.inbound(rich_links(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT source_url, count(*) AS links, count(DISTINCT target_url) AS targets, count(*) FILTER (link_type = 'external') AS external_links FROM rlink GROUP BY source_url")
+def rich_outbound_links(spark, sf_dir):
+    return graph.outbound(rich_links(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT link_type, count(*) AS n FROM rlink GROUP BY link_type")
+def rich_link_types(spark, sf_dir):
+    return analytics.links_per_type(rich_links(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT source_url, count(*) AS links, avg(CAST(link_type = 'external' AS INTEGER)) AS external_share, avg(CAST(contains(lower(rel_attribute), 'nofollow') AS INTEGER)) AS nofollow_share FROM rlink GROUP BY source_url")
+def rich_external_share(spark, sf_dir):
+    return analytics.external_share(rich_links(spark, sf_dir))
+
+
+@query(f"WITH {RICH_SQL} SELECT source_url, pos, target_url, link_type FROM rlink WHERE link_type = 'internal'")
+def rich_without_external(spark, sf_dir):
+    """Links as they are saved where external hosts aren't followed."""
+    parsed = html.parse_pages(fixtures.rich(spark, sf_dir).select("page_id", "url", "html"))
+    return graph.links_of_parsed(parsed, save_external=False).select("source_url", "pos", "target_url", "link_type")
+
+
+@query(f"WITH {RICH_SQL}, t AS (SELECT DISTINCT target_url AS url FROM rlink WHERE link_type = 'internal') SELECT url FROM t WHERE starts_with(url, 'https://site1.example/') AND url NOT IN (SELECT url FROM rich WHERE page_id % 2 = 0)")
+def rich_frontier(spark, sf_dir):
+    pages = fixtures.rich(spark, sf_dir).select("url", F.when(F.col("page_id") % 2 == 0, "completed").otherwise("discovered").alias("status"))
+    return lifecycle.frontier(rich_links(spark, sf_dir), pages, urls.crawl_scope(F.col("url"), ["https://site1.example/x"]))
+
+
+@query(f"WITH {RICH_SQL} SELECT url, origin || '/canon/' || p AS canonical_url FROM rich WHERE page_id % 3 = 0")
+def canonical_mismatch(spark, sf_dir):
+    return analytics.canonical_mismatch(html.parse_pages(fixtures.rich(spark, sf_dir).select("url", "html")))
+
+
+@query(f"WITH h AS ({fixtures.HEADERS.replace('{src}', 'pages')}) SELECT id, CASE WHEN id % 2 = 0 THEN 'text/html' ELSE 'application/xhtml+xml' END AS content_type, CASE WHEN id % 3 = 0 THEN 0 ELSE id * 10 END AS content_length, TIMESTAMP '2024-01-01 03:04:05' + INTERVAL (id % 28) DAY AS last_modified, CASE WHEN id % 4 = 0 THEN 'gzip' ELSE 'br' END AS content_encoding, true AS is_html FROM h")
+def header_values(spark, sf_dir):
+    out = headers.with_header_columns(fixtures.headers(spark, sf_dir))
+    return out.select("id", "content_type", "content_length", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), "content_encoding", headers.is_html(F.col("content_type")).alias("is_html"))
+
+
+@query(f"WITH {LIFE_SQL} SELECT id, CASE WHEN id % 5 = 2 THEN 'error' ELSE status END AS status, CAST(CASE WHEN id % 5 = 2 THEN retry_count + 1 ELSE retry_count END AS INTEGER) AS retry_count, CASE WHEN id % 5 = 2 THEN 'network_timeout' ELSE last_error_type END AS last_error_type FROM life")
+def save_error_repeats(spark, sf_dir):
+    """A url that failed more than once in a batch counts one try, and stays one page."""
+    pages = life(spark, sf_dir)
+    failed = pages.where("id % 5 = 2").selectExpr("url", "inline(array(named_struct('error_type', 'network_error', 'error_message', 'a'), named_struct('error_type', 'network_timeout', 'error_message', 'b'), named_struct('error_type', 'network_timeout', 'error_message', 'a')))")
+    return lifecycle.save_errors(pages, failed).select("id", "status", "retry_count", "last_error_type")
+
+
+@query(f"WITH {LIFE_SQL} SELECT url, status FROM life WHERE id % 2 = 0 UNION ALL SELECT url, 'pending' FROM life WHERE id % 6 = 1")
+def enqueue_without_nulls(spark, sf_dir):
+    """A null url never becomes a page."""
+    pages = life(spark, sf_dir)
+    asked = pages.select(F.when(F.col("id") % 6 == 1, F.col("url")).alias("url"))
+    return lifecycle.add_to_queue(pages.where("id % 2 = 0"), asked, F.lit(NOW)).select("url", "status")
