@@ -356,22 +356,24 @@ def test_targets_by_rounds(spark, sizes):
     assert got == pytest.approx(water(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 3))
 
 
-def test_mix_comes_near_its_targets(spark):
-    rows = mixing.mix(docs(spark)).collect()
-    source = {r["doc_id"]: r["source"] for r in docs(spark).collect()}
+@pytest.fixture(scope="module")
+def mix(spark):
+    return mixing.taken(docs(spark), ["source"]).collect()
+
+
+def test_mix_comes_near_its_targets(mix):
     taken, target = Counter(), {}
-    for r in rows:
-        taken[source[r["doc_id"]]] += r["taken"]
-        target[source[r["doc_id"]]] = r["target"]
-        assert 0 <= r["taken"] <= 3 * r["size"]
+    for r in mix:
+        taken[r["kept"]["source"]] += r["size"] * r["copies"]
+        target[r["kept"]["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
     assert all(abs(taken[s] - t) <= 0.01 * t + 5 for s, t in target.items())
-    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in mix))
 
 
-def test_inclusion_odds_are_unequal_within_a_source(spark):
-    rows = mixing.taken(docs(spark), ["source"]).collect()
+def test_inclusion_odds_are_unequal_within_a_source(mix):
     by: dict = {}
-    for r in rows:
+    for r in mix:
         by.setdefault(r["kept"]["source"], []).append((len(bin(r["size"])) - 2, r["size"], r["copies"], r["target"], r["source_size"]))
     short = [c for own in by.values() for g, _, c, _, _ in own if g <= 7]
     long_ = [c for own in by.values() for g, _, c, _, _ in own if g >= 9]
@@ -383,10 +385,9 @@ def test_inclusion_odds_are_unequal_within_a_source(spark):
         assert set(off) <= {0, 1}
 
 
-def test_mixed_repeats_documents(spark):
+def test_mixed_repeats_documents(spark, mix):
     got = Counter(r["doc_id"] for r in mixing.mixed(docs(spark)).select("doc_id").collect())
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs(spark)).collect() if r["copies"]}
-    assert got == want
+    assert got == {r["doc_id"]: r["copies"] for r in mix if r["copies"]}
 
 
 def test_rows_count_for_themselves_whatever_their_ids(spark):
@@ -394,9 +395,10 @@ def test_rows_count_for_themselves_whatever_their_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, Source string, kept int")
     mixed = mixing.mixed(frame)
     assert mixed.columns == frame.columns
-    taken = Counter(r["Source"] for r in mixed.collect())
+    rows = mixed.collect()
+    taken = Counter(r["Source"] for r in rows)
     assert {s: 51 * n for s, n in taken.items()} == {s: pytest.approx(t, abs=51) for s, t in (("s0", 7650), ("s1", 3060), ("s2", 1530))}
-    assert max(Counter(r["kept"] for r in mixed.collect()).values()) <= 3
+    assert max(Counter(r["kept"] for r in rows).values()) <= 3
 
 
 def test_mix_runs_no_python(spark):

@@ -139,13 +139,9 @@ def test_classes_against_brute_force(spark, monkeypatch):
     want = expected(docs)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classes(frame).collect()}
     assert got == want
-    # blocks of more sets than a task takes are split, and no link is lost
-    monkeypatch.setattr(N, "PART_SETS", 9)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classes(frame).collect()} == want
-    # lists too long for sketches become stars, many ranges and blocks of few shingles change nothing
-    monkeypatch.setattr(N, "LIST", 3)
-    monkeypatch.setattr(N, "RANGE_BYTES", 4000)
-    monkeypatch.setattr(N, "PART_SHINGLES", 1500)
+    # blocks of more sets or shingles than a task takes are split, lists too long for sketches are stars, ranges are many: no link is lost
+    for name, value in (("PART_SETS", 9), ("PART_SHINGLES", 1500), ("LIST", 3), ("RANGE_BYTES", 10_000)):
+        monkeypatch.setattr(N, name, value)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classes(frame).collect()} == want
 
 
