@@ -47,6 +47,8 @@ WIDTH, PERCENT = 4, 85
 RANGE_BYTES, EACH, LEAST, CHUNK = 8_000_000, 5000, 250_000, 3_000_000
 #: Sets of a list that are compared by sketches; sets and shingles of one part of a block.
 LIST, PART_SETS, PART_SHINGLES = 1000, 500, 1_000_000
+#: Tasks among which the copies of one set are dealt.
+SALTS = 16
 #: Entries of a run of an index list.
 RUN = 32
 
@@ -414,8 +416,11 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     flat = chunks.where("r = -1").select("chunk", F.posexplode(F.arrays_zip("ids", "n", "a", "b")).alias("place", "d"))
     rows = written(flat.select("chunk", "place", F.col("d.ids").alias("doc_id"), "d.n", "d.a", "d.b"))
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
-    first = written(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("rep")).select("a", "b", "n", F.col("rep.doc_id").alias("rep"), "rep.chunk", "rep.place"))
-    copies = sets.select("a", "b", "n", "doc_id").join(first, ["a", "b", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    first = written(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("rep"), F.count("*").alias("m")).select("a", "b", "n", "m", F.col("rep.doc_id").alias("rep"), "rep.chunk", "rep.place"))
+    # a set of very many copies meets them in SALTS tasks
+    several = first.where("m > 1").select("a", "b", "n", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sets.select("a", "b", "n", "doc_id", F.pmod(F.xxhash64("doc_id", "chunk", "place"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = salted.join(several, ["a", "b", "n", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = first.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("places"))  # at most a chunk's texts
     found = written(_candidates(chunks, reps, parts, percent))
     forget(chunks)
