@@ -5,7 +5,8 @@ classes of all others: P(word | state) = P(symbol | state) * P(word | symbol), w
 second factor is the word's smoothed share of its class's training tokens. Word counts cover
 all training texts. Baum-Welch starts on a bounded sample, which only places the states, and
 goes on with PASSES passes over all training texts: each task adds up its expected counts, and
-a tree of partial sums joins them; windows of a long text meet by transfer matrices. A text's
+a tree of partial sums joins them; windows of a long text meet by transfer matrices. The passes read
+a table of the texts' symbols, written once. A text's
 likelihood is the scaled forward recursion over all its tokens; long texts are cut into stretches
 whose transfer matrices are multiplied, which is the same sum.
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_hash, bytes_of, columns, sample, written
+from ._shared import by_hash, bytes_of, columns, forget, sample, written
 
 #: The token that ends a text; no word has a line feed.
 END = b"\n"
@@ -42,6 +43,8 @@ SAMPLE, SAMPLE_BYTES, SAMPLE_ROUNDS, PASSES, WINDOW, STRETCH = 300, 2_000_000, 8
 #: Bytes of text in a chunk, distinct words, and bytes of text, that a task holds before it passes counts on, rows that a partial sum joins.
 CHUNK, HELD, HELD_BYTES, FAN = 4_000_000, 200_000, 64_000_000, 8
 SMOOTH = 0.1
+#: Tokens between two rescalings of a recursion: an emission has at least the share that smoothing leaves, so the product of so many doesn't underflow.
+RESCALE = 8
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -83,6 +86,18 @@ class Slots(dict):
         return out
 
 
+def laid(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences, the longest first, as columns; their lengths; how many have a symbol at each place."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    sym = np.zeros((int(sizes[0]) if len(parts) else 0, len(parts)), np.int64)
+    for j, p in enumerate(parts):
+        sym[: len(p), j] = p
+    return sym, sizes, np.searchsorted(-sizes, -np.arange(len(sym)), "left")
+
+
+ONES = np.ones(STATES)
+
+
 class Chain:
     """start: by state; moves: state to state; emit: symbols by states."""
 
@@ -116,39 +131,37 @@ class Chain:
         lanes = 512
         for at in range(0, len(parts), lanes):
             some = parts[at : at + lanes]
-            sizes = np.array([len(p) for p in some])
-            n, steps = len(some), int(sizes[0])
-            sym = np.zeros((steps, n), np.int64)
-            for j, p in enumerate(some):
-                sym[: len(p), j] = p
-            live = np.searchsorted(-sizes, -np.arange(steps), "left")  # lanes with more than t tokens come first
+            sym, sizes, live = laid(some)
+            steps, n = sym.shape
+            seen = np.arange(n)[None, :] < live[:, None]
+            odds = self.emit.take(sym, 0)
             own, later = first[at : at + n], np.flatnonzero(~first[at : at + n])
             enter = before[at : at + n]
             entry = np.tile(self.start, (n, 1))
             entry[later] = enter[later] @ self.moves
             up = np.zeros((steps, n, STATES))
-            scale = np.ones((steps, n))
+            scale: dict[int, np.ndarray] = {}
             for t in range(steps):
                 m = live[t]
-                now = self.emit[sym[t, :m]] * (up[t - 1, :m] @ self.moves if t else entry)
-                s = now.sum(1)
-                scale[t, :m] = s
-                up[t, :m] = now / s[:, None]
+                now = np.multiply(odds[t, :m], up[t - 1, :m] @ self.moves if t else entry, out=up[t, :m])
+                if t % RESCALE == 0:
+                    scale[t] = (now @ ONES)[:, None]
+                    now /= scale[t]
             down = after[at : at + n].copy()
             down /= (up[sizes - 1, np.arange(n)] * down).sum(1, keepdims=True)
             for t in range(steps - 1, -1, -1):
                 m = live[t]
-                up_t = up[t, :m]
                 if t:
-                    weight = self.emit[sym[t, :m]] * down[:m] / scale[t, :m, None]
+                    weight = odds[t, :m] * down[:m]
+                    if t in scale:
+                        weight /= scale[t]
                     moves += up[t - 1, :m].T @ weight
                 elif len(later):
-                    moves += enter[later].T @ (self.emit[sym[0, later]] * down[later] / scale[0, later, None])
-                up[t, :m] = up_t * down[:m]
+                    moves += enter[later].T @ (odds[0, later] * down[later] / scale[0][later])
+                up[t, :m] *= down[:m]
                 if t:
                     down[:m] = weight @ self.moves.T
             start += up[0, own].sum(0)
-            seen = np.arange(n)[None, :] < live[:, None]
             flat = sym[seen]
             posterior = up[seen]
             for k in range(STATES):
@@ -166,14 +179,7 @@ class Chain:
             return parts, before, after
         _, v = self._run([parts[k] for k in heads], np.tile(self.start, (len(heads), 1)))
         rest = [k for e, m in zip(ends, many, strict=True) for k in range(int(e) - m + 1, int(e))]
-        # [i, j]: from state i before the window to state j at its end, up to a factor
-        across = np.empty((len(rest), STATES, STATES))
-        step = 256
-        for at in range(0, len(rest), step):
-            some = rest[at : at + step]
-            g, f = self._run([parts[k] for k in some for _ in range(STATES)], np.tile(self.moves, (len(some), 1)))
-            g = g.reshape(-1, STATES)
-            across[at : at + step] = np.exp(g - g.max(1, keepdims=True))[:, :, None] * f.reshape(-1, STATES, STATES)
+        _, across = self._across([parts[k] for k in rest])
         place = {k: j for j, k in enumerate(rest)}
         for u, head in zip(v, heads, strict=True):
             k = head + 1
@@ -190,38 +196,60 @@ class Chain:
     def _run(self, parts: list[np.ndarray], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of the mass and the normed state vector after each sequence; `before`: state weights at its first token."""
         order = np.argsort([-len(p) for p in parts], kind="stable")
-        sizes = np.array([len(parts[k]) for k in order])
         n = len(parts)
-        sym = np.zeros((int(sizes[0]) if n else 0, n), np.int64)
-        for j, k in enumerate(order):
-            sym[: sizes[j], j] = parts[k]
-        live = np.searchsorted(-sizes, -np.arange(len(sym)), "left")
+        sym, sizes, live = laid([parts[k] for k in order])
         v, log = before[order].copy(), np.zeros(n)
         for t in range(len(sym)):
             m = live[t]
-            now = self.emit[sym[t, :m]] * (v[:m] @ self.moves if t else v[:m])
-            s = now.sum(1)
-            log[:m] += np.log(s)
-            v[:m] = now / s[:, None]
+            now = np.multiply(self.emit.take(sym[t, :m], 0, mode="clip"), v[:m] @ self.moves if t else v[:m], out=v[:m])
+            if t % RESCALE == RESCALE - 1:
+                s = now @ ONES
+                log[:m] += np.log(s)
+                now /= s[:, None]
+        s = v @ ONES
+        log += np.log(s)
+        v /= s[:, None]
         out, logs = np.empty_like(v), np.empty(n)
         out[order], logs[order] = v, log
         return logs, out
 
+    def _across(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each sequence the matrix from the state before it to the state at its last token, divided by e to the power of the log beside it."""
+        logs, out = np.zeros(len(parts)), np.empty((len(parts), STATES, STATES))
+        order = np.argsort([-len(p) for p in parts], kind="stable")
+        lanes = 256
+        for at in range(0, len(order), lanes):
+            own = order[at : at + lanes]
+            sym, sizes, live = laid([parts[k] for k in own])
+            n = len(own)
+            # [state now, state before, sequence]
+            v, log = np.tile(np.eye(STATES)[:, :, None], (1, 1, n)), np.zeros(n)
+            for t in range(len(sym)):
+                if live[t] < v.shape[2]:
+                    done = slice(live[t], v.shape[2])
+                    out[own[done]], logs[own[done]] = v[:, :, done].T, log[done]
+                    v, log = v[:, :, : live[t]], log[: live[t]]
+                v = (self.moves.T @ v.reshape(STATES, -1)).reshape(v.shape)
+                v *= self.emit.take(sym[t, : live[t]], 0, mode="clip").T[:, None, :]
+                if t % RESCALE == RESCALE - 1:
+                    top = v.max((0, 1))
+                    log = log + np.log(top)
+                    v /= top
+            out[own[: v.shape[2]]], logs[own[: v.shape[2]]] = v.T, log
+        return logs, out
+
     def log10(self, texts: list[np.ndarray], stretch: int = STRETCH) -> np.ndarray:
         """log10 of the probability of each symbol sequence, of at least one symbol."""
         logs, v = self._run([x[:stretch] for x in texts], np.tile(self.start, (len(texts), 1)))
         rest = [(k, x[i : i + stretch]) for k, x in enumerate(texts) for i in range(stretch, len(x), stretch)]
-        step = 64
+        step = 512
         for at in range(0, len(rest), step):
             some = rest[at : at + step]
-            g, f = self._run([p for _, p in some for _ in range(STATES)], np.tile(self.moves, (len(some), 1)))
-            for j, (k, _) in enumerate(some):
-                own = slice(j * STATES, (j + 1) * STATES)
-                top = g[own].max()
-                u = (v[k] * np.exp(g[own] - top)) @ f[own]
-                s = u.sum()
-                logs[k] += top + np.log(s)
-                v[k] = u / s
+            for (k, _), log, matrix in zip(some, *self._across([p for _, p in some]), strict=True):
+                u = v[k] @ matrix
+                mass = u.sum()
+                logs[k] += log + np.log(mass)
+                v[k] = u / mass
         return logs / np.log(10)
 
 
@@ -276,6 +304,43 @@ class Model:
         self.own, self.chain, self.listed, self.classes, self.total, self.distinct = own, chain, listed, classes, total, distinct
 
 
+def _coded(texts: DataFrame, own: list[bytes]) -> DataFrame:
+    """The symbols of each text, two bytes a token, so that passes neither split nor look up words again."""
+    shared = texts.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Symbols(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([names.of(tokens_of(text)).astype(np.int16).tobytes() for text in bytes_of(batch.column("text"))], pa.binary())], names=["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols binary")
+
+
+def _expected(coded: DataFrame, chain: Chain) -> DataFrame:
+    """part (its number) and v (expected counts of its texts) of each task."""
+    shared = coded.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = None, [], 0
+
+        def add() -> np.ndarray:
+            x = shared.value.expected(held)
+            return x if total is None else total + x
+
+        for batch in batches:
+            for symbols in batch.column("symbols").to_pylist():
+                held.append(np.frombuffer(symbols, np.int16))
+                size += len(held[-1])
+                if size > 250_000:
+                    total, held, size = add(), [], 0
+        if held:
+            total = add()
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
+
+    return coded.mapInArrow(run, "part long, v binary")
+
+
 def fit(docs: DataFrame, learned: Column, passes: int = PASSES, most: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model of the rows where `learned` holds, and the table of their word counts."""
     spark = docs.sparkSession
@@ -312,29 +377,14 @@ def fit(docs: DataFrame, learned: Column, passes: int = PASSES, most: int = SAMP
         learnt = Chain.of_counts(chain.expected(some))
         # classes that the sample lacks keep the corpus's share
         chain = Chain(learnt.start, learnt.moves, 0.9 * learnt.emit + 0.1 * ((unigram + SMOOTH) / (unigram + SMOOTH).sum())[:, None])
-    for _ in range(passes if total else 0):
-        shared = spark.sparkContext.broadcast((own, chain))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, chain = shared.value
-            names, total, held, size = Symbols(own), None, [], 0
-            for batch in batches:
-                for text in bytes_of(batch.column("text")):
-                    held.append(names.of(tokens_of(text)))
-                    size += len(held[-1])
-                    if size > 250_000:
-                        x = chain.expected(held)
-                        total, held, size = x if total is None else total + x, [], 0
-            if held:
-                x = chain.expected(held)
-                total = x if total is None else total + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
-
-        source = texts.select("text")
-        # one vector of fixed size for each task
-        if (x := _summed(written(source.mapInArrow(run, "part long, v binary")), source.rdd.getNumPartitions())) is not None:
-            chain = Chain.of_counts(x)
+    if total and passes:
+        coded = written(_coded(texts, own))
+        for _ in range(passes):
+            # one vector of fixed size for each task
+            parts = written(_expected(coded, chain))
+            chain = Chain.of_counts(_summed(parts, coded.rdd.getNumPartitions()))
+            forget(parts)
+        forget(coded)
     return Model(own, chain, listed, classes, int(total or 0), int(distinct)), counts
 
 
