@@ -48,3 +48,9 @@ def test_words_and_places(spark):
         assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
         assert set(x["base_labels"].split(",")) <= set(x["labels"].split(","))
     assert any("cc-by-nc-4.0" in r["labels"] and r["score"] == 1 for r in got.values())
+
+
+def test_places_of_many_hits(spark):
+    text = "cc by x mit license\n" * 40_000
+    row = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (200_000, 80_000, 0, 199_998)

@@ -154,9 +154,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 line = b" " + b" ".join(words) + b" "
                 starts, base = [], set()
                 for phrase, label in wanted:
-                    at = line.find(phrase)
+                    at, seen, place = line.find(phrase), 0, 0
                     while at >= 0:
-                        starts.append(line.count(b" ", 0, at))
+                        place, seen = place + line.count(b" ", seen, at), at
+                        starts.append(place)
                         base.add(label)
                         at = line.find(phrase, at + 1)
                 more = {label for label, x in autos.items() if x.must in line and x.accepts(words)}
