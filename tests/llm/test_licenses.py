@@ -54,3 +54,15 @@ def test_places_of_many_hits(spark):
     text = "cc by x mit license\n" * 40_000
     row = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (200_000, 80_000, 0, 199_998)
+
+
+@pytest.mark.parametrize("label", ["bsd-2-clause", "bsd-3-clause", "isc", "mit-license"])
+def test_whole_texts(label):
+    """A text with every optional region, one with none, and one that lacks a mandatory word."""
+    auto, template = Automaton(L.TEMPLATES[label]), L.TEMPLATES[label]
+    filled = re.sub(r"<<any \d+>>", "the Example Authors", template)
+    full, bare = (words_of(re.sub(r"<<optional>>(.*?)<<end>>", keep, filled).encode()) for keep in (r"\1", ""))
+    assert auto.accepts([b"intro", *full, b"more"]) and auto.accepts(bare)
+    assert not auto.accepts([w for w in full if w != b"copyright"])
+    crowded = re.sub(r"<<any \d+>>", "word " * 11, template)
+    assert not auto.accepts(words_of(re.sub(r"<<optional>>(.*?)<<end>>", r"\1", crowded).encode()))
