@@ -63,8 +63,8 @@ def with_nodes(pages: DataFrame, links: DataFrame, now: Column) -> DataFrame:
 
 
 def relations(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Edges by the ids of pages; ends that no page has are dropped."""
-    ends = lambda n: pages.select(F.col("url").alias(f"{n}_url"), F.col("id").alias(f"{n}_page_id"))
+    """Edges by the ids of pages; ends that no page has are dropped. A URL of several pages stands for one node, with the least of their ids, so an edge never becomes two."""
+    ends = lambda n: pages.groupBy(F.col("url").alias(f"{n}_url")).agg(F.min("id").alias(f"{n}_page_id"))
     return links.join(ends("source"), "source_url").join(ends("target"), "target_url").drop("source_url", "target_url")
 
 
@@ -76,8 +76,8 @@ def save_edges(edges: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFr
 
 
 def links_view(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Relations by ids as URLs: two inner joins."""
-    ends = lambda n: pages.select(F.col("id").alias(f"{n}_page_id"), F.col("url").alias(f"{n}_url"))
+    """Relations by ids as URLs: two inner joins with the distinct nodes, whichever pages share one."""
+    ends = lambda n: pages.select(F.col("id").alias(f"{n}_page_id"), F.col("url").alias(f"{n}_url")).distinct()
     out = edges.join(ends("source"), "source_page_id").join(ends("target"), "target_page_id")
     return out.select("source_url", "target_url", *[c for c in edges.columns if c not in ("source_page_id", "target_page_id")])
 
