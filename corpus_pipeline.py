@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.llm import langid, mixing, ngram_join, packing, pii, quality_model
-from weftspan.llm._shared import prepare, table, written
+from weftspan.llm._shared import prepare, rested, table, written
 
 #: Words of a shingle, and the percentage of shared shingles from which on documents are copies; op3's own query has others.
 SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
@@ -23,7 +23,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score what the model gives no words. Equal rows all stay or all go. Rows with a
     null doc_id are scored, and not learned from. Without labels nothing is rejected.
     """
-    prepare(spark)
+    rested(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~langid.held_out(3, 1))
     name = next(n for n in ("score", *(f"score{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
     return quality_model.score(docs, model, keep=docs.columns, name=name).where(F.col(name) >= 0.5).select(*docs.columns)
@@ -36,7 +36,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     none, each count for themselves; a null doc_id comes after all others, and equal ids go by the hash.
     Null and empty texts link with nothing, so only equal rows of them fall together.
     """
-    prepare(spark)
+    rested(spark)
     own = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps can't be compared
     key = next(n for n in ("key", *(f"key{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns)
     rows = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in own]))
@@ -53,7 +53,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind. Null and empty texts, other columns and all rows stay, equal ones too."""
-    prepare(spark)
+    rested(spark)
     return pii.redact(docs, pii.fit(docs))
 
 
@@ -63,13 +63,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own; rows without words are taken as their odds say and add nothing;
     each of several equal rows counts for itself. A null doc_id draws by its text.
     """
-    prepare(spark)
+    rested(spark)
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: pieces of documents with their sequence and place in it. A null or empty text is its end id alone; equal rows are packed each on their own."""
-    prepare(spark)
+    rested(spark)
     return packing.pack_documents(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -25,6 +26,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def rested(spark: SparkSession) -> SparkSession:
+    """prepare(), once every executor has collected its garbage and handed the heap that this frees back.
+
+    A heap grows towards its limit from one stage to the next and keeps what it took, beside which Python
+    workers have to find room. A task a core reaches all executors; calls that meet in one are one collection.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    return prepare(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. Where none is set, a session in one process makes a local one, and any other is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -107,6 +119,25 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands what this process has freed back to the system, which the allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; a worker outlives its task and waits for other stages' tasks, so what the task took is given back at its end."""
+
+    def leaning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return leaning
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """make() runs once a task and returns what turns a batch into a batch."""
 
@@ -116,7 +147,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows and (out := turn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 
@@ -81,7 +83,7 @@ class Rows(dict):
         return parts[1] if len(parts) == 2 else np.concatenate(parts)
 
 
-def gathered(texts: list[list], most: int = 40_000):
+def gathered(texts: Iterable[list], most: int = 40_000):
     """Neighbouring texts, as lists of words, in lists that hold so many words or a single text."""
     held, size = [], 0
     for words in texts:

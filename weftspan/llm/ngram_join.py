@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bytes_of, columns, forget, groups, written
+from ._shared import bytes_of, columns, forget, groups, lean, written
 from ._words import Numbers, windows
 from .graph import components, forest
 
@@ -118,7 +118,7 @@ def _chunks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
         if ids:
             yield chunk()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(lean(run), CHUNKS)
 
 
 def _shared(chunks: DataFrame, ranges: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _shared(chunks: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=rows.schema)
 
     task = F.when(F.col("r") < 0, F.pmod(F.xxhash64("chunk"), F.lit(ranges))).otherwise(F.col("r")).cast("int")
-    return chunks.repartitionById(ranges, task).sortWithinPartitions("key").mapInArrow(run, CHUNKS)
+    return chunks.repartitionById(ranges, task).sortWithinPartitions("key").mapInArrow(lean(run), CHUNKS)
 
 
 def sketch(names: np.ndarray, n: int) -> bytes:
@@ -194,7 +194,7 @@ def _candidates(chunks: DataFrame, reps: DataFrame, parts: int, percent: int) ->
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int64())), pa.array(out["k"], pa.int32()), pa.array(out["sketch"], pa.binary())], names=list(out))
 
-    return own.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "id long, n long, shared array<long>, k int, sketch binary")
+    return own.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(run), "id long, n long, shared array<long>, k int, sketch binary")
 
 
 def may_link(ids: np.ndarray, n: np.ndarray, shared: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def _edges(found: DataFrame, parts: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     small = members.where(F.col("m") <= LIST).select("token", "id").join(marks, "id")
-    near = small.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+    near = small.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lean(run), "a long, b long")
     out = written(near.unionByName(stars))
     forget(lists)
     return out
@@ -355,7 +355,7 @@ def _joined(blocks: DataFrame, percent: int) -> DataFrame:
             keep = lead != ids
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(lead[keep], pa.int64())], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(lean(run), "a long, b long")
 
 
 def _tasks(found: DataFrame, tasks: DataFrame, parts: int, percent: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import columns, map_batches
+from ._shared import columns, lean, map_batches
 
 SEQUENCE, END_ID = 1024, 2
 #: Bins a packing task keeps open, and documents whose pieces it takes: both bound its memory. A task ends with a few bins half full.
@@ -137,7 +137,7 @@ def pack(items: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, tas
                 placed = [bins.put(x) for x in batch.column("length").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task + a for a, _ in placed], pa.int64()), pa.array([b for _, b in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, out).select(*names, "sequence_id", "offset")
+    return dealt.mapInArrow(lean(run), out).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, with_ids: bool = True, task_documents: int = TASK_DOCUMENTS) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_hash, columns, map_batches, sample
+from ._shared import by_hash, columns, lean, map_batches, sample
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "account")
 LABELS = ("", *KINDS)
@@ -397,7 +397,7 @@ def redact(docs: DataFrame, field: SemiField) -> DataFrame:
             texts = [x if x is None else masked(x, spans_of(x, model)[1]) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:

@@ -28,8 +28,8 @@ BUCKETS, WIDTH = 1 << 16, 16
 GRAMS = (3, 4)
 #: Labelled documents, and bytes of their text, that training takes at most; its rounds and first step.
 SAMPLE, SAMPLE_BYTES, ROUNDS, RATE = 2500, 24_000_000, 6, 0.5
-#: Bytes of words whose n-grams are hashed at once; longer words are taken in pieces, which changes no sum.
-PIECE = 1 << 20
+#: Bytes of words whose n-grams are hashed at once (each takes over a hundred bytes a byte); longer words are taken in pieces, which changes no sum.
+PIECE = 1 << 17
 
 
 def _grams(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,10 +82,10 @@ def word_vectors(words: list[bytes], table: np.ndarray) -> np.ndarray:
 def _long_vector(word: bytes, table: np.ndarray) -> np.ndarray:
     """word_vectors() of one word, PIECE bytes at a time."""
     shape, h = b"<" + word + b">", zlib.crc32(word)
-    total, count = table[h % BUCKETS].astype(np.float64), 1
+    total, count, exact = table[h % BUCKETS].astype(np.float64), 1, table.astype(np.float64)
     for at in range(0, len(shape), PIECE):
         for _, row in _grams(np.frombuffer(shape[at : at + PIECE + max(GRAMS) - 1], np.uint8).astype(np.uint64)):
-            total += np.bincount(row[:PIECE], minlength=BUCKETS) @ table.astype(np.float64)
+            total += np.bincount(row[:PIECE], minlength=BUCKETS) @ exact
             count += len(row[:PIECE])
     return np.array([[*(total / count), h >> 16, h & 0xFFFF]])
 
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, nam
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for texts in gathered([t.split() for t in bytes_of(batch.column("text"))]):
+            for texts in gathered(t.split() for t in bytes_of(batch.column("text"))):
                 sizes = np.array([len(w) for w in texts])
                 vectors = np.zeros((len(texts), WIDTH))
                 if some := int(sizes.sum()):
